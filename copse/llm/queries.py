@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import exact_dedup, sentencepiece_bpe
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+        "op9_sentencepiece": sentencepiece_bpe.op9_sentencepiece,
     }
 
 
