@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, sentencepiece_bpe
+from . import exact_dedup, mixing, quality, sentencepiece_bpe, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+        "op5_mix_sources": mixing.op5_mix_sources,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op9_sentencepiece": sentencepiece_bpe.op9_sentencepiece,
+        "op10_quality": quality.op10_quality,
     }
 
 
