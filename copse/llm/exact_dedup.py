@@ -61,7 +61,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .groupBy("n", "sha").agg(F.max(F.struct(F.col("id").isNotNull(), F.col("id"), F.col("same"))).alias("top"), F.sum("same").alias("size"))
         .select("n", "sha", F.col("top.id").alias("keep"), "size", F.col("top.same").alias("same"))
     )
-    found = full.join(groups, ["n", "sha"]).select("row", "id", "keep", "size", "same")
+    # a join key of its own puts an exchange right below both sides of the join, so that a hot group can be split there
+    key = F.concat_ws(":", "n", "sha").alias("key")
+    found = full.select("row", "id", key).join(groups.select(key, "keep", "size", "same"), "key").drop("key")
     return unpacked(alone.unionByName(found), keep_id="keep", group_size="size", kept=F.col("id").eqNullSafe(F.col("keep")), keep_rows="same")
 
 
