@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_text, mixing, pii, quality, sentencepiece_bpe, toxicity
+from . import exact_dedup, html_text, mixing, pii, quality, sentencepiece_bpe, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_text": html_text.op1_html_text,
+        "op2_simhash": simhash.op2_simhash,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_pii": pii.op4_pii,
         "op5_mix_sources": mixing.op5_mix_sources,
