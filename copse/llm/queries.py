@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_text, mixing, pii, quality, sentencepiece_bpe, simhash, toxicity
+from . import exact_dedup, html_text, kdtree_topk, mixing, pii, quality, sentencepiece_bpe, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,10 +17,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_pii": pii.op4_pii,
         "op5_mix_sources": mixing.op5_mix_sources,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op8_kdtree_topk": kdtree_topk.op8_kdtree_topk,
         "op9_sentencepiece": sentencepiece_bpe.op9_sentencepiece,
         "op10_quality": quality.op10_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.OP3_SQL}
+    return {"op3_exact_dedup": exact_dedup.OP3_SQL, "op8_kdtree_topk": kdtree_topk.OP8_SQL}
