@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_text, kdtree_topk, mixing, pii, quality, sentencepiece_bpe, simhash, toxicity
+from . import exact_dedup, html_text, kdtree_topk, mixing, pii, quality, sentencepiece_bpe, simhash, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_pii": pii.op4_pii,
         "op5_mix_sources": mixing.op5_mix_sources,
+        "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_kdtree_topk": kdtree_topk.op8_kdtree_topk,
         "op9_sentencepiece": sentencepiece_bpe.op9_sentencepiece,
