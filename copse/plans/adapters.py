@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.geo import forward, nested
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -109,30 +111,28 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LAT = "round(46.5e0 + ((c_custkey * 7919123) % 3000000) / 1000000.0e0, 6)"
 _LON = "round(-87.5e0 + ((c_custkey * 1047293) % 9000000) / 1000000.0e0, 6)"
-#: Same text in both engines; casts to text go through integers so that both print alike.
-_GPS = f"""SELECT 'VSN' || lpad(CAST(c_custkey AS {{text}}), 6, '0') AS vsnplotname,
-    CASE WHEN c_custkey % 97 = 0 THEN NULL ELSE {_LAT} END AS latitude,
-    CASE WHEN c_custkey % 89 = 0 THEN NULL WHEN c_custkey % 101 = 0 THEN -{_LON} ELSE {_LON} END AS longitude,
-    CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE {{e}} + c_acctbal / 100.0e0 END AS raw_e, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE {{n}} - c_acctbal / 200.0e0 END AS raw_n,
-    CASE WHEN c_custkey % 4 = 0 THEN {{e}} + 1.5e0 END AS asg_e, CASE WHEN c_custkey % 4 = 0 THEN {{n}} + 1.0e0 END AS asg_n,
-    CASE WHEN c_custkey % 7 = 0 THEN {{e}} + 700000.0e0 END AS cap_e, CASE WHEN c_custkey % 7 = 0 THEN {{n}} END AS cap_n,
+#: Same text in both engines.
+_GPS = """SELECT 'VSN' || lpad(CAST(c_custkey AS {text}), 6, '0') AS vsnplotname,
+    CASE WHEN c_custkey % 97 = 0 THEN NULL ELSE lat0 END AS latitude,
+    CASE WHEN c_custkey % 89 = 0 THEN NULL WHEN c_custkey % 101 = 0 THEN -lon0 ELSE lon0 END AS longitude,
+    CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE e0 + c_acctbal / 100.0e0 END AS raw_e, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE n0 - c_acctbal / 200.0e0 END AS raw_n,
+    CASE WHEN c_custkey % 4 = 0 THEN e0 + 1.5e0 END AS asg_e, CASE WHEN c_custkey % 4 = 0 THEN n0 + 1.0e0 END AS asg_n,
+    CASE WHEN c_custkey % 7 = 0 THEN e0 + 700000.0e0 END AS cap_e, CASE WHEN c_custkey % 7 = 0 THEN n0 END AS cap_n,
     CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 5 = 4 THEN 18.0e0 ELSE 16.0e0 + c_custkey % 2 END AS utmzone
-  FROM customer"""
-
+  FROM ({placed})"""
 
-def _gps_text(text: str) -> str:
-    from ..functions.geo import forward_sql
 
-    e, n = forward_sql(_LON, _LAT, f"CASE WHEN {_LON} < -84.0e0 THEN 16 ELSE 17 END", "298.257223563e0")
-    return _GPS.format(text=text, e=f"round({e}, 3)", n=f"round({n}, 3)")
+def _gps_text(text: str, customer: str = "customer") -> str:
+    placed = nested(f"SELECT c_custkey, c_acctbal, {_LAT} AS lat0, {_LON} AS lon0 FROM {customer}", forward("lon0", "lat0", "CASE WHEN lon0 < -84.0e0 THEN 16 ELSE 17 END", 298.257223563, "g"))
+    return _GPS.format(text=text, placed=f"SELECT *, round(ge, 3) AS e0, round(gn, 3) AS n0 FROM ({placed})")
 
 
 def gps_sql() -> str:
-    return f"a_gps AS ({_gps_text('VARCHAR')})"
+    return f"a_gps AS MATERIALIZED ({_gps_text('VARCHAR')})"
 
 
 def gps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(_gps_text("STRING").replace("FROM customer", "FROM {customer}"), customer=table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"))
+    return spark.sql(_gps_text("STRING", "{customer}"), customer=table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"))
 
 
 TILES = """a_tiles AS (
