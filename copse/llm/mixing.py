@@ -125,8 +125,8 @@ class Mix:
         self.sources = spark.createDataFrame(listed, "sid int, source string, source_size bigint, target double, buckets bigint")
         self.units = self._placed(units, block_words)
         self.slots = self._slots(spark, quota, n_blocks, shards, seed)
-        on = ["sid", "block"]
-        self.pieces = self._pieces(block_words).join(self.slots, on).select("source", "id", "h", "shard", "slot", "pass", "block", "start", "words")
+        on = ["sid", "block"]  # both sides grow with the words; their sizes as planned say nothing, as slots are made in executors
+        self.pieces = self._pieces(block_words).join(self.slots.hint("merge"), on).select("source", "id", "h", "shard", "slot", "pass", "block", "start", "words")
 
     def _placed(self, units: DataFrame, block_words: int) -> DataFrame:
         """Units with ``first``, the place of their first word in the stream of their source."""
