@@ -10,7 +10,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("points", "scores", "gps", "tiles", "canopy", "trees")
+MODULES = ("points", "scores", "gps", "tiles", "canopy", "trees", "models")
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
