@@ -19,9 +19,10 @@ from html.parser import HTMLParser
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import packed, unpacked
+from .common import unpacked
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split())
@@ -230,11 +231,12 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     repeats and empty tables need no rule; columns of the same names are
     replaced.
     """
-    rows = packed(pages, pages.columns[0], html_col).select("row", "text")
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"))
+    place = pages.columns.index(html_col)  # the html goes to the workers once, inside its row
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            html = batch.column(1)
+            html = batch.column(0).field(place)
             texts = [main_text(html[i].as_py()) for i in range(len(html))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["row", "text", "n_chars"])
 

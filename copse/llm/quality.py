@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, packed, unpacked
+from .common import held_out, unpacked
 from .fitting import labelled_sample, minimise, sigmoid
 
 #: Training texts of each class, at most.
@@ -177,12 +177,13 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text", threshold: floa
     Null counts as empty; an empty text is one empty line.  Rows are scored one
     by one, so repeats and empty tables need no rule.
     """
-    rows = packed(docs, docs.columns[0], text_col).select("row", "text")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    place = docs.columns.index(text_col)  # the text goes to the workers once, inside its row
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1)
-            s = np.array([chain.score(texts[i].as_py()) for i in range(len(texts))], float)
+            texts = batch.column(0).field(place)
+            s = np.array([chain.score(texts[i].as_py() or "") for i in range(len(texts))], float)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s)], names=["row", "score"])
 
     schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("score", T.DoubleType())])

@@ -24,15 +24,16 @@ from heapq import heapify, heappop, heappush
 from itertools import chain
 from operator import add
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import packed, unpacked
+from .common import unpacked
 
 SPACE = "▁"
-MEMO = 500_000
+MEMO = 600_000
 MODEL = "piece_bpe_32k.model"
 
 
@@ -60,8 +61,9 @@ class Agenda:
             marks -= mixed
         m = re.escape("".join(sorted(marks)))
         self.chunks = re.compile(f"\n|{SPACE}*[^{SPACE}\n{m}]+|{SPACE}*[{m}]+|{SPACE}+" if marks else f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+").findall
-        self.memo: dict[str, tuple[str, str, int]] = {}
-        self.older: dict[str, tuple[str, str, int]] = {}
+        self.memo: dict[str, str] = {}
+        self.older: dict[str, str] = {}
+        self.odd: dict[str, str] = {}
         self.size, self.fresh = memo // 2, []
 
     def merge(self, chunk: str) -> list[int]:
@@ -121,25 +123,34 @@ class Agenda:
                 out.append(self.pieces[i])
         return "".join(out).replace(SPACE, " ")
 
-    def known(self, chunk: str) -> tuple[str, str, int]:
+    def known(self, chunk: str) -> str:
         got = self.older.get(chunk)
         if got is None:
             ids = self.merge(chunk)
-            got = (",".join(map(str, ids)), self.text_of(ids), len(ids))
+            got = ",".join(map(str, ids))
+            if (text := self.text_of(ids)) != chunk.replace(SPACE, " "):
+                self.odd[chunk] = text
             self.fresh.append((chunk, ids))
         if len(chunk) <= 64:
             self.memo[chunk] = got
         return got
 
-    def parts(self, text: str) -> list[tuple[str, str, int]]:
-        """Of each chunk of a text: its ids in decimal, its decoded text, how many ids."""
+    def parts(self, text: str) -> tuple[list[str], list[str]]:
+        """The chunks of a text, and the ids of each in decimal."""
         if not text:
-            return []
+            return [], []
         get, known = self.memo.get, self.known
-        return [get(c) or known(c) for c in self.chunks(SPACE + text.replace(" ", SPACE))]
+        chunks = self.chunks(SPACE + text.replace(" ", SPACE))
+        return chunks, [get(c) or known(c) for c in chunks]
+
+    def decoded(self, chunks: list[str]) -> str:
+        """What the ids of the chunks decode to: each chunk was compared with it when merged, and ``odd`` has those that differ."""
+        if self.odd:
+            return "".join([self.odd.get(c) or c.replace(SPACE, " ") for c in chunks]).removeprefix(" ")
+        return "".join(chunks).replace(SPACE, " ").removeprefix(" ")
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for ids, _, _ in self.parts(text) for i in ids.split(",")]
+        return [int(i) for ids in self.parts(text)[1] for i in ids.split(",")]
 
     def decode(self, ids: list[int]) -> str:
         """As the library's decode: the space that encoding put in front goes."""
@@ -162,18 +173,25 @@ def _agenda(model_file: str) -> Agenda:
     return Agenda(model_file)
 
 
-#: Column: type, and how a text's parts make it.
+def _sha256(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+#: Column: type, and how an agenda makes it of a text's chunks and their ids in decimal, comma-joined.
 OUTPUTS = {
-    "ids": ("array<int>", lambda parts: [int(i) for ids, _, _ in parts for i in ids.split(",")]),
-    "n_tokens": ("bigint", lambda parts: sum([n for _, _, n in parts])),
-    "ids_sha256": ("string", lambda parts: hashlib.sha256(",".join([ids for ids, _, _ in parts]).encode()).hexdigest()),
-    "decoded": ("string", lambda parts: "".join([t for _, t, _ in parts]).removeprefix(" ")),
-    "decoded_sha256": ("string", lambda parts: hashlib.sha256("".join([t for _, t, _ in parts]).removeprefix(" ").encode()).hexdigest()),
+    "ids": ("array<int>", lambda agenda, chunks, ids: np.array(ids.split(",") if ids else [], np.int32)),
+    "n_tokens": ("bigint", lambda agenda, chunks, ids: ids.count(",") + 1 if ids else 0),
+    "ids_sha256": ("string", lambda agenda, chunks, ids: _sha256(ids)),
+    "decoded": ("string", lambda agenda, chunks, ids: agenda.decoded(chunks)),
+    "decoded_sha256": ("string", lambda agenda, chunks, ids: _sha256(agenda.decoded(chunks))),
 }
 
+#: Texts whose results leave a worker at once, and their code points at most (but for one text).
+OUT_ROWS, OUT_CHARS = 256, 1 << 21
+
 
-def encode_decode(docs: DataFrame, model_file: str, outputs: tuple[str, ...] = ("ids", "n_tokens", "decoded"), text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with the chosen ``outputs`` of its whole texts.
+def encode_decode(docs: DataFrame, model_file: str, outputs: tuple[str, ...] = ("ids", "n_tokens", "decoded"), text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """Columns ``keep`` (default: all) of ``docs`` with the chosen ``outputs`` of its whole texts.
 
     Null and empty texts have no ids.  Rows are independent: repeated rows,
     ties and empty tables need no rule.  Columns of the same names are
@@ -183,19 +201,23 @@ def encode_decode(docs: DataFrame, model_file: str, outputs: tuple[str, ...] = (
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         agenda = _agenda(model_file)
         for batch in batches:
-            texts, cols = batch.column(1), [[] for _ in outputs]
+            texts, first, cols, chars = batch.column(1), 0, [[] for _ in outputs], 0
             for i in range(len(texts)):
-                parts = agenda.parts(texts[i].as_py() or "")
+                text = texts[i].as_py() or ""
+                chunks, parts = agenda.parts(text)
+                ids = ",".join(parts)
                 for col, name in zip(cols, outputs, strict=True):
-                    col.append(OUTPUTS[name][1](parts))
-                if i % 64 == 63:
+                    col.append(OUTPUTS[name][1](agenda, chunks, ids))
+                chars += len(text)
+                if i - first + 1 == OUT_ROWS or chars > OUT_CHARS or i == len(texts) - 1:
                     agenda.check()
-            agenda.check()
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, type=t) for c, t in zip(cols, types, strict=True)]], names=["row", *outputs])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, i - first + 1), *[pa.array(c, type=t) for c, t in zip(cols, types, strict=True)]], names=["row", *outputs])
+                    first, cols, chars = i + 1, [[] for _ in outputs], 0
 
     arrow = {"array<int>": pa.list_(pa.int32()), "bigint": pa.int64(), "string": pa.string()}
     types = [arrow[OUTPUTS[name][0]] for name in outputs]
-    rows = packed(docs, docs.columns[0], text_col).select("row", "text")
+    names = [c for c in docs.columns if keep is None or c in keep]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{text_col}`").alias("text"))
     schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), *[T.StructField(name, T._parse_datatype_string(OUTPUTS[name][0])) for name in outputs]])
     return unpacked(rows.mapInArrow(run, schema), **{name: name for name in outputs})
 
@@ -206,6 +228,5 @@ def op9_sentencepiece(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
     docs = table(spark, sf_dir, "documents")
-    ids = docs.select("doc_id", "text")
-    out = encode_decode(ids, public_tokenizers.path(MODEL), ("n_tokens", "ids_sha256", "decoded_sha256"))
+    out = encode_decode(docs, public_tokenizers.path(MODEL), ("n_tokens", "ids_sha256", "decoded_sha256"), keep=("doc_id",))
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
