@@ -28,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import scratch, table
 
-LENGTH, MER = 200, 48
+LENGTH, MER = 200, 32
 GROUP = 50_000
+SALTS = 64
 #: Bytes of a text that are hashed at once.
 CHUNK = 1 << 16
 _MULT = 0x9E3779B97F4A7C15
@@ -152,14 +153,14 @@ def _merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[new], hi[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(hi) - 1]])]
 
 
-_CONTEXT = pa.schema([("hash", pa.int64()), ("right", pa.binary()), ("left", pa.binary()), ("a", pa.int64()), ("b", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
+_CONTEXT = pa.schema([("hash", pa.int64()), ("right", pa.binary()), ("left", pa.binary()), ("a", pa.int64()), ("b", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("salt", pa.int32())])
 _SPAN = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, mer: int) -> Iterator[pa.RecordBatch]:
-    """Of (a, b, text): a row for each text and anchor hash in it, with how often."""
+    """Of (a, b, text): a row ``(a, hash, n)`` for each text and anchor hash in it, with how often."""
     for batch in batches:
-        a, b, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+        a, texts = batch.column(0).to_numpy(), batch.column(2)
         hashes, counts, sizes = [], [], []
         for i in range(len(texts)):
             h, n = np.unique(anchors(texts[i].as_py(), length, mer)[1], return_counts=True)
@@ -167,33 +168,35 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, mer: int) -> It
             counts.append(n)
             sizes.append(len(h))
         if hashes:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(a, sizes)), pa.array(np.repeat(b, sizes)), pa.array(np.concatenate(hashes)), pa.array(np.concatenate(counts).astype(np.int64))], names=["a", "b", "hash", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(a, sizes)), pa.array(np.concatenate(hashes)), pa.array(np.concatenate(counts).astype(np.int32))], names=["a", "hash", "n"])
 
 
 def _context_rows(batches: Iterator[pa.RecordBatch], length: int, mer: int) -> Iterator[pa.RecordBatch]:
-    """Of (a, b, text, hashes): the bytes around each anchor of these hashes.
+    """Of (a, b, text, few, many): the bytes around each anchor of these hashes.
 
     Occurrences of one text with the same bytes around are sent once; what they
-    cover is repeated for sure and goes along as rows without bytes.
+    cover is repeated for sure and goes along as rows without bytes.  ``salt``
+    is -1, or deals out the rows of the hot anchors ``many``.
     """
     reach = length - mer
     for batch in batches:
         rows: list[list] = [[] for _ in _CONTEXT]
         size = 0
         for i in range(batch.num_rows):
-            a, b, text, own = (batch.column(c)[i].as_py() for c in range(4))
+            a, b, text, few, many = (batch.column(c)[i].as_py() for c in range(5))
             at, h = anchors(text, length, mer)
-            keep = np.isin(h, np.array(own, np.int64))
-            at, h = at[keep].tolist(), h[keep].tolist()
+            hot = np.isin(h, np.array(many, np.int64))
+            keep = hot | np.isin(h, np.array(few, np.int64))
+            at, h, hot = at[keep].tolist(), h[keep].tolist(), hot[keep].tolist()
             back, n = text[::-1], len(text)
             seen: dict[tuple[bytes, bytes], list[int]] = {}
             lo, hi = [], []
-            for p, x in zip(at, h, strict=True):
+            for p, x, y in zip(at, h, hot, strict=True):
                 around = (text[p : p + length], back[n - p : n - p + reach])
                 first = seen.get(around)
                 if first is None:
                     seen[around] = [p]
-                    for col, v in zip(rows, (x, *around, a, b, p, None), strict=True):
+                    for col, v in zip(rows, (x, *around, a, b, p, None, (a + p) % SALTS if y else -1), strict=True):
                         col.append(v)
                     size += length + reach
                 else:
@@ -202,7 +205,7 @@ def _context_rows(batches: Iterator[pa.RecordBatch], length: int, mer: int) -> I
                         hi.append(q + len(around[0]))
                     first.clear()
             for s, e in zip(*(v.tolist() for v in _merged(np.array(lo, np.int64), np.array(hi, np.int64))), strict=True):
-                for col, v in zip(rows, ((a ^ s * _MULT) & 0x7FFFFFFFFFFFFFFF, None, None, a, b, s, e), strict=True):
+                for col, v in zip(rows, ((a ^ s * _MULT) & 0x7FFFFFFFFFFFFFFF, None, None, a, b, s, e, -1), strict=True):
                     col.append(v)
             if size > 1 << 23:
                 yield pa.RecordBatch.from_pydict(dict(zip(_CONTEXT.names, rows, strict=True)), schema=_CONTEXT)
@@ -279,7 +282,7 @@ def _scan(batches: Iterator[pa.RecordBatch], length: int, mer: int, groups: bool
         known = batch.filter(pa.compute.is_valid(batch.column(6)))
         if known.num_rows and not groups:
             yield pa.RecordBatch.from_arrays([known.column(i) for i in (3, 4, 5, 6)], schema=_SPAN)
-        batch = batch.filter(pa.compute.is_null(batch.column(6)))
+        batch = batch.filter(pa.compute.and_(pa.compute.is_null(batch.column(6)), pa.compute.less(batch.column(7), 0)))
         if not batch.num_rows:
             continue
         h = batch.column(0).to_numpy()
@@ -297,10 +300,11 @@ def _scan(batches: Iterator[pa.RecordBatch], length: int, mer: int, groups: bool
 
 
 def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Of context rows: a hash (128 bits) of each string of ``length`` bytes that holds the anchor."""
+    """Of the context rows of hot anchors: a hash (128 bits) of each string of ``length`` bytes that holds the anchor."""
     import xxhash
 
     for batch in batches:
+        batch = batch.filter(pa.compute.greater_equal(batch.column(7), 0))
         rows: list[tuple] = []
         for i in range(batch.num_rows):
             right, left, a, b, at = (batch.column(c)[i].as_py() for c in (1, 2, 3, 4, 5))
@@ -324,23 +328,31 @@ class Repeats:
         self.text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
         self.docs = docs
         long = docs.select(self.text.cast("binary").alias("text")).where(F.octet_length("text") >= length)
-        self.texts = long.select(*_ints("", F.sha2("text", 256)), "text").dropDuplicates(["a", "b"])
-        found = self.texts.mapInArrow(lambda x: _anchor_rows(x, length, mer), "a long, b long, hash long, n long")
+        keyed = long.select(*_ints("", F.sha2("text", 256)), "text").where("a IS NOT NULL AND b IS NOT NULL")  # never null; said here, so that all uses share one exchange
+        self.texts = keyed.repartition("a").dropDuplicates(["a", "b"])
+        # anchors are read twice below: as a table, since a plan with such a function in it is run anew for each use
+        path = scratch(docs.sparkSession, "anchors")
+        keyed.mapInArrow(lambda x: _anchor_rows(x, length, mer), "a long, hash long, n int").write.parquet(path)
+        found = docs.sparkSession.read.parquet(path)
+        # copies of a text are counted here as well: that only sends more than is needed
         often = found.groupBy("hash").agg(F.sum("n").alias("total")).where("total > 1")
-        # a copy of the key keeps the exchanges of the join apart from the sum's, so that a hot anchor's rows can be split
-        hits = found.withColumn("key", F.col("hash").bitwiseXOR(F.lit(0))).join(often.select(F.col("hash").bitwiseXOR(F.lit(0)).alias("key"), "total"), "key")
-        own = hits.groupBy("a", "b").agg(F.collect_list(F.when(F.col("total") <= group, F.col("hash"))).alias("few"), F.collect_list(F.when(F.col("total") > group, F.col("hash"))).alias("many"))
-        self.around = self.texts.join(own, ["a", "b"])
-
-    def _contexts(self, which: str) -> DataFrame:
+        self.hot = not often.where(F.col("total") > group).isEmpty()
+        # a key of its own keeps the exchanges of the join apart from the sum's, so that a hot anchor's rows can be split
+        hits = found.select("a", (F.col("hash") + F.lit(0)).alias("hash")).join(often.select((F.col("hash") + F.lit(0)).alias("hash"), "total"), "hash")
+        # half the key is enough here: texts that share it would only send more than they need
+        own = hits.groupBy("a").agg(F.collect_set(F.when(F.col("total") <= group, F.col("hash"))).alias("few"), F.collect_set(F.when(F.col("total") > group, F.col("hash"))).alias("many"))
+        self.around = self.texts.join(own, "a")
+        self.dealt = self._contexts()
+
+    def _contexts(self) -> DataFrame:
+        """Context rows, dealt by anchor; the rows of a hot anchor by salt too."""
         length, mer = self.length, self.mer
-        rows = self.around.where(F.size(which) > 0).select("a", "b", "text", which)
-        return rows.mapInArrow(lambda x: _context_rows(x, length, mer), "hash long, right binary, left binary, a long, b long, lo long, hi long")
+        rows = self.around.select("a", "b", "text", "few", "many").mapInArrow(lambda x: _context_rows(x, length, mer), "hash long, right binary, left binary, a long, b long, lo long, hi long, salt int")
+        return rows.repartition("hash", "salt")
 
     def _sorted(self, groups: bool, schema: str) -> DataFrame:
         length, mer = self.length, self.mer
-        rows = self._contexts("few").repartition("hash").sortWithinPartitions("hash", "right")
-        return rows.mapInArrow(lambda x: _scan(x, length, mer, groups), schema)
+        return self.dealt.sortWithinPartitions("hash", "right").mapInArrow(lambda x: _scan(x, length, mer, groups), schema)
 
     def groups(self) -> DataFrame:
         """``(repeat, a, b, start, length)``: maximal repeats as seen from each anchor, a row for each occurrence; ``repeat`` names the string.
@@ -355,12 +367,13 @@ class Repeats:
         """``(a, b, lo, hi)``: byte ranges whose bytes are repeated; they overlap, and their union is complete."""
         length = self.length
         few = self._sorted(False, "a long, b long, lo long, hi long")
-        hot = self._contexts("many")
-        sure = hot.where("hi is not null").select("a", "b", "lo", "hi")
-        strings = hot.where("hi is null").mapInArrow(lambda x: _windows(x, length), "w1 long, w2 long, a long, b long, lo long").distinct()
+        if not self.hot:
+            return few
+        # both read the same exchange; which rows are hot is left to the functions, as a filter would move below it
+        strings = self.dealt.mapInArrow(lambda x: _windows(x, length), "w1 long, w2 long, a long, b long, lo long").distinct()
         again = strings.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select(F.col("w1").bitwiseXOR(F.lit(0)).alias("k1"), F.col("w2").alias("k2"))
         many = strings.withColumn("k1", F.col("w1").bitwiseXOR(F.lit(0))).withColumnRenamed("w2", "k2").join(again, ["k1", "k2"]).select("a", "b", "lo", (F.col("lo") + length).alias("hi"))
-        return few.unionByName(sure).unionByName(many)
+        return few.unionByName(many)
 
     def removed(self, id_col: str = "doc_id") -> DataFrame:
         """A row for each input row: id, n_bytes, n_removed, n_spans, kept (the remaining bytes) as its SHA-256.
@@ -369,8 +382,9 @@ class Repeats:
         throughout.  Shorter texts keep all bytes.
         """
         length = self.length
-        per = self.spans().groupBy("a", "b").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-        cut_ = self.texts.join(per, ["a", "b"]).mapInArrow(_kept, "a long, b long, removed long, spans long, kept string")
+        # by half the key, by which the texts are dealt already; the function tells the few texts apart that share it
+        per = self.spans().groupBy("a").agg(F.collect_list(F.struct("lo", "hi", "b")).alias("spans"))
+        cut_ = self.texts.join(per, "a").select("a", "b", "text", "spans").mapInArrow(_kept, "a long, b long, removed long, spans long, kept string")
         sha = F.sha2(self.text.cast("binary"), 256)
         rows = self.docs.select(F.col(f"`{id_col}`").alias("id"), sha.alias("sha"), F.octet_length(self.text).cast("long").alias("n_bytes"))
         rows = rows.select("id", "sha", "n_bytes", *_ints("", F.col("sha")))
@@ -399,7 +413,8 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         removed, count, kept = [], [], []
         for i in range(batch.num_rows):
             own = batch.column(3)[i].values
-            lo, hi = _merged(own.field(0).to_numpy(), own.field(1).to_numpy())
+            mine = own.field(2).to_numpy() == batch.column(1)[i].as_py()
+            lo, hi = _merged(own.field(0).to_numpy()[mine], own.field(1).to_numpy()[mine])
             removed.append(int((hi - lo).sum()))
             count.append(len(lo))
             kept.append(hashlib.sha256(without(batch.column(2)[i].as_py(), lo, hi)).hexdigest())
