@@ -13,7 +13,10 @@ Texts never leave their own partition but once, keyed by content, and equal
 texts are handled as one.  Anchors that occur once are dropped before any bytes
 move; of the others ``length`` bytes to the right and ``length`` - ``MER`` to
 the left do.  Anchors with more than ``GROUP`` occurrences go another exact
-way, by counting hashes (128 bits) of all their strings of ``length`` bytes.
+way: their occurrences are dealt into units, in which digests (128 bits) of what
+BLOCK neighbouring strings of ``length`` bytes share are compared, then, where
+those meet, digests of the strings themselves; units tell each other what they
+have, each string once.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +36,10 @@ from .common import scratch, table
 
 LENGTH, MER = 200, 32
 GROUP = 50_000
-SALTS = 64
+#: Units among which the rows of a hot anchor are dealt, at least; and rows a unit should have at most.
+SALTS, UNIT = 64, 4096
+#: Neighbouring windows of a hot anchor that are looked up by what they share; divides LENGTH - MER + 1.
+BLOCK = 13
 #: Bytes of a text that are hashed at once.
 CHUNK = 1 << 16
 _MULT = 0x9E3779B97F4A7C15
@@ -171,12 +178,13 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, mer: int) -> It
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(a, sizes)), pa.array(np.concatenate(hashes)), pa.array(np.concatenate(counts).astype(np.int32))], names=["a", "hash", "n"])
 
 
-def _context_rows(batches: Iterator[pa.RecordBatch], length: int, mer: int) -> Iterator[pa.RecordBatch]:
+def _context_rows(batches: Iterator[pa.RecordBatch], length: int, mer: int, salts: int) -> Iterator[pa.RecordBatch]:
     """Of (a, b, text, few, many): the bytes around each anchor of these hashes.
 
     Occurrences of one text with the same bytes around are sent once; what they
-    cover is repeated for sure and goes along as rows without bytes.  ``salt``
-    is -1, or deals out the rows of the hot anchors ``many``.
+    cover is repeated for sure and goes along as rows without bytes.  With
+    ``salts`` the bytes are those around the hot anchors ``many`` instead, dealt
+    out by ``salt``, and nothing else.
     """
     reach = length - mer
     for batch in batches:
@@ -196,7 +204,9 @@ def _context_rows(batches: Iterator[pa.RecordBatch], length: int, mer: int) -> I
                 first = seen.get(around)
                 if first is None:
                     seen[around] = [p]
-                    for col, v in zip(rows, (x, *around, a, b, p, None, (a + p) % SALTS if y else -1), strict=True):
+                    if y != bool(salts):
+                        continue
+                    for col, v in zip(rows, (x, *around, a, b, p, None, (a + p) % salts if y else -1), strict=True):
                         col.append(v)
                     size += length + reach
                 else:
@@ -204,6 +214,8 @@ def _context_rows(batches: Iterator[pa.RecordBatch], length: int, mer: int) -> I
                         lo.append(q - len(around[1]))
                         hi.append(q + len(around[0]))
                     first.clear()
+            if salts:
+                continue
             for s, e in zip(*(v.tolist() for v in _merged(np.array(lo, np.int64), np.array(hi, np.int64))), strict=True):
                 for col, v in zip(rows, ((a ^ s * _MULT) & 0x7FFFFFFFFFFFFFFF, None, None, a, b, s, e, -1), strict=True):
                     col.append(v)
@@ -282,7 +294,7 @@ def _scan(batches: Iterator[pa.RecordBatch], length: int, mer: int, groups: bool
         known = batch.filter(pa.compute.is_valid(batch.column(6)))
         if known.num_rows and not groups:
             yield pa.RecordBatch.from_arrays([known.column(i) for i in (3, 4, 5, 6)], schema=_SPAN)
-        batch = batch.filter(pa.compute.and_(pa.compute.is_null(batch.column(6)), pa.compute.less(batch.column(7), 0)))
+        batch = batch.filter(pa.compute.is_null(batch.column(6)))
         if not batch.num_rows:
             continue
         h = batch.column(0).to_numpy()
@@ -299,21 +311,95 @@ def _scan(batches: Iterator[pa.RecordBatch], length: int, mer: int, groups: bool
         yield from whole()
 
 
-def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Of the context rows of hot anchors: a hash (128 bits) of each string of ``length`` bytes that holds the anchor."""
-    import xxhash
+def _blocks(row: tuple[bytes, bytes, int], length: int, mer: int) -> Iterator[tuple[bytes, int, bytes, bytes]]:
+    """The windows of ``length`` bytes around an anchor in blocks of BLOCK neighbours: what all of a block share, as a
+    digest and its start, and up to BLOCK - 1 bytes to its left and right.  ``row``: bytes from the anchor on, those
+    before it reversed, and its place."""
+    right, left, at = row
+    text, here = left[::-1] + right, len(left)
+    for j, back in enumerate(range(0, length - mer + 1, BLOCK)):
+        start, end = here - back, here - back + length - BLOCK + 1
+        if start >= 0 and end <= len(text):
+            yield xxhash.xxh3_128_digest(text[start:end], seed=j), at - back, text[max(0, start - BLOCK + 1) : start], text[end : end + BLOCK - 1]
+
+
+def _block_windows(core: bytes, left: bytes, right: bytes) -> Iterator[tuple[int, bytes]]:
+    """Of the windows of a block that the text has: bytes to the left of the core, and a digest of the whole."""
+    for k in range(max(0, BLOCK - 1 - len(right)), min(BLOCK - 1, len(left)) + 1):
+        yield k, xxhash.xxh3_128_digest(core + bytes([k]) + left[len(left) - k :] + right[: BLOCK - 1 - k])
+
+
+def _halves(digest: bytes) -> tuple[int, int]:
+    return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
+
+
+_CORE = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("lo", pa.int64()), ("left", pa.binary()), ("right", pa.binary())])
+_WINDOW = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("sure", pa.bool_())])
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    cols = zip(*rows, strict=True) if rows else ([] for _ in schema)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
+
 
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows (right, left, a, b, at) of hot anchors, all of one anchor and salt at a time."""
+    key, unit = None, []
     for batch in batches:
-        batch = batch.filter(pa.compute.greater_equal(batch.column(7), 0))
+        for h, right, left, a, b, at, _, salt in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (h, salt) != key and unit:
+                yield unit
+                unit = []
+            key = (h, salt)
+            unit.append((right, left, a, b, at))
+    if unit:
+        yield unit
+
+
+def _probe(batches: Iterator[pa.RecordBatch], length: int, mer: int, cores: bool) -> Iterator[pa.RecordBatch]:
+    """What units of hot anchors have to tell each other.
+
+    ``cores``: a row for each block's core in a unit, with the bytes beside it if it stands there once.  Else a row for
+    each window of the cores that stand there twice or more, and the ranges known from windows that do so themselves.
+    """
+    for unit in _units(batches):
+        stand: dict[bytes, list[tuple]] = {}
+        for i, (right, left, _, _, at) in enumerate(unit):
+            for core, *rest in _blocks((right, left, at), length, mer):
+                stand.setdefault(core, []).append((i, *rest))
         rows: list[tuple] = []
-        for i in range(batch.num_rows):
-            right, left, a, b, at = (batch.column(c)[i].as_py() for c in (1, 2, 3, 4, 5))
-            text = left[::-1] + right
-            for s in range(len(text) - length + 1):
-                d = xxhash.xxh3_128_digest(text[s : s + length])
-                rows.append((int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), a, b, at - len(left) + s))
-        cols = zip(*rows, strict=True) if rows else ([] for _ in range(5))
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], names=["w1", "w2", "a", "b", "lo"])
+        if cores:
+            for core, found in stand.items():
+                i, lo, left, right = found[0]
+                rows.append((*_halves(core), *unit[i][2:4], lo, *((left, right) if len(found) == 1 else (None, None))))
+            yield _batch(rows, _CORE)
+            continue
+        windows: dict[bytes, list[tuple[int, int]]] = {}
+        for core, found in stand.items():
+            if len(found) > 1:
+                for i, lo, left, right in found:
+                    for k, window in _block_windows(core, left, right):
+                        windows.setdefault(window, []).append((i, lo - k))
+        known: dict[int, tuple[int, int]] = {}
+        for window, found in windows.items():
+            i, lo = found[0]
+            rows.append((*_halves(window), *unit[i][2:4], lo, lo + length, False))
+            if len(found) > 1:
+                for i, lo in found:
+                    s, e = known.get(i, (lo, lo + length))
+                    known[i] = min(s, lo), max(e, lo + length)
+        rows += [(unit[i][2] ^ s * 31, unit[i][3], *unit[i][2:4], s, e, True) for i, (s, e) in known.items()]
+        yield _batch(rows, _WINDOW)
+
+
+def _opened(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """The windows of cores that stand once in their unit and again elsewhere."""
+    for batch in batches:
+        rows = []
+        for w1, w2, a, b, lo, left, right in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            core = w1.to_bytes(8, "big", signed=True) + w2.to_bytes(8, "big", signed=True)
+            rows += [(*_halves(window), a, b, lo - k, lo - k + length, False) for k, window in _block_windows(core, left, right)]
+        yield _batch(rows, _WINDOW)
 
 
 class Repeats:
@@ -336,23 +422,24 @@ class Repeats:
         found = docs.sparkSession.read.parquet(path)
         # copies of a text are counted here as well: that only sends more than is needed
         often = found.groupBy("hash").agg(F.sum("n").alias("total")).where("total > 1")
-        self.hot = not often.where(F.col("total") > group).isEmpty()
+        most = often.agg(F.max("total")).first()[0] or 0
+        self.hot, self.salts = most > group, max(SALTS, most // UNIT)
         # a key of its own keeps the exchanges of the join apart from the sum's, so that a hot anchor's rows can be split
         hits = found.select("a", (F.col("hash") + F.lit(0)).alias("hash")).join(often.select((F.col("hash") + F.lit(0)).alias("hash"), "total"), "hash")
         # half the key is enough here: texts that share it would only send more than they need
         own = hits.groupBy("a").agg(F.collect_set(F.when(F.col("total") <= group, F.col("hash"))).alias("few"), F.collect_set(F.when(F.col("total") > group, F.col("hash"))).alias("many"))
         self.around = self.texts.join(own, "a")
-        self.dealt = self._contexts()
 
-    def _contexts(self) -> DataFrame:
-        """Context rows, dealt by anchor; the rows of a hot anchor by salt too."""
-        length, mer = self.length, self.mer
-        rows = self.around.select("a", "b", "text", "few", "many").mapInArrow(lambda x: _context_rows(x, length, mer), "hash long, right binary, left binary, a long, b long, lo long, hi long, salt int")
+    def _contexts(self, hot: bool = False) -> DataFrame:
+        """Context rows, dealt by anchor; those of hot anchors by salt too."""
+        length, mer, salts = self.length, self.mer, self.salts if hot else 0
+        texts = self.around.where(F.size("many") > 0) if hot else self.around
+        rows = texts.select("a", "b", "text", "few", "many").mapInArrow(lambda x: _context_rows(x, length, mer, salts), "hash long, right binary, left binary, a long, b long, lo long, hi long, salt int")
         return rows.repartition("hash", "salt")
 
     def _sorted(self, groups: bool, schema: str) -> DataFrame:
         length, mer = self.length, self.mer
-        return self.dealt.sortWithinPartitions("hash", "right").mapInArrow(lambda x: _scan(x, length, mer, groups), schema)
+        return self._contexts().sortWithinPartitions("hash", "right").mapInArrow(lambda x: _scan(x, length, mer, groups), schema)
 
     def groups(self) -> DataFrame:
         """``(repeat, a, b, start, length)``: maximal repeats as seen from each anchor, a row for each occurrence; ``repeat`` names the string.
@@ -365,15 +452,20 @@ class Repeats:
 
     def spans(self) -> DataFrame:
         """``(a, b, lo, hi)``: byte ranges whose bytes are repeated; they overlap, and their union is complete."""
-        length = self.length
+        length, mer = self.length, self.mer
         few = self._sorted(False, "a long, b long, lo long, hi long")
         if not self.hot:
             return few
-        # both read the same exchange; which rows are hot is left to the functions, as a filter would move below it
-        strings = self.dealt.mapInArrow(lambda x: _windows(x, length), "w1 long, w2 long, a long, b long, lo long").distinct()
-        again = strings.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select(F.col("w1").bitwiseXOR(F.lit(0)).alias("k1"), F.col("w2").alias("k2"))
-        many = strings.withColumn("k1", F.col("w1").bitwiseXOR(F.lit(0))).withColumnRenamed("w2", "k2").join(again, ["k1", "k2"]).select("a", "b", "lo", (F.col("lo") + length).alias("hi"))
-        return few.unionByName(many)
+        # both probes make these rows anew, as no exchange above such a function is shared; a unit has the same rows
+        # whenever they run, and tells of each string once, so that the lists below stay short
+        units = self._contexts(hot=True).sortWithinPartitions("hash", "salt", "right", "left", "a", "b", "lo")
+        window = "w1 long, w2 long, a long, b long, lo long, hi long, sure boolean"
+        cores = units.mapInArrow(lambda x: _probe(x, length, mer, True), "w1 long, w2 long, a long, b long, lo long, left binary, right binary").repartition("w1")
+        met = cores.groupBy("w1", "w2").agg(F.collect_list(F.struct("a", "b", "lo", "left", "right")).alias("rows")).where(F.size("rows") > 1)
+        opened = met.select("w1", "w2", F.inline("rows")).where("left is not null").mapInArrow(lambda x: _opened(x, length), window)
+        windows = units.mapInArrow(lambda x: _probe(x, length, mer, False), window).unionByName(opened).repartition("w1")
+        again = windows.groupBy("w1", "w2").agg(F.collect_list(F.struct("a", "b", "lo", "hi")).alias("rows"), F.max("sure").alias("sure")).where((F.size("rows") > 1) | F.col("sure"))
+        return few.unionByName(again.select(F.inline("rows")))
 
     def removed(self, id_col: str = "doc_id") -> DataFrame:
         """A row for each input row: id, n_bytes, n_removed, n_spans, kept (the remaining bytes) as its SHA-256.
