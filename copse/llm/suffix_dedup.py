@@ -145,6 +145,49 @@ def repeat_groups(right: list[bytes], left: list[bytes], lcp: list[int], length:
             yield l, r, members
 
 
+def extents(lcp: list[int], left: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Of each occurrence of one anchor the most bytes to the left and to the right over the maximal repeats that hold it.
+
+    What :func:`repeat_groups` gives, folded per occurrence: in an interval of the tree an occurrence's deepest group to
+    the left ends where it parts from its neighbours there.  The bytes to the left are sorted once; neighbours in an
+    interval share the least of the common prefixes between them, by a sparse table of minima.
+    """
+    n = len(left)
+    order = sorted(range(n), key=left.__getitem__)
+    back = [common(left[x], left[y]) for x, y in zip(order, order[1:], strict=False)]
+    outer, inner = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    order, level = np.array(order), np.array(back, np.int64)
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    least, ranks = [level], rank.tolist()
+    while len(level) > 1 << (len(least) - 1):
+        half = 1 << (len(least) - 1)
+        level = np.minimum(level[:-half], level[half:])
+        least.append(level)
+    for r, first, last in intervals(lcp):
+        if last == first + 1:
+            x, y = sorted(ranks[first : last + 1])
+            depth = (y - x).bit_length() - 1
+            l = min(least[depth][x], least[depth][y - (1 << depth)])  # noqa: E741
+            if l + r >= length:
+                for i in (first, last):
+                    outer[i], inner[i] = max(outer[i], l), max(inner[i], r)
+            continue
+        here = np.sort(rank[first : last + 1])
+        depth = np.frexp(np.diff(here).astype(np.float64))[1] - 1
+        share = np.empty(len(depth), np.int64)
+        for d in set(depth.tolist()):
+            k = np.flatnonzero(depth == d)
+            share[k] = np.minimum(least[d][here[k]], least[d][here[k + 1] - (1 << d)])
+        best = np.zeros(len(here), np.int64)
+        best[:-1] = share
+        best[1:] = np.maximum(best[1:], share)
+        good = best + r >= length
+        i = order[here[good]]
+        outer[i], inner[i] = np.maximum(outer[i], best[good]), np.maximum(inner[i], r)
+    return outer, inner
+
+
 def _ints(name: str, sha: Column) -> list[Column]:
     """The first 128 bits of a hex digest as two longs ``name``a and ``name``b."""
     return [F.conv(F.substring(sha, 1 + 16 * i, 16), 16, -10).cast("long").alias(f"{name}{c}") for i, c in enumerate("ab")]
@@ -263,14 +306,14 @@ def _grouped(batch: pa.RecordBatch, length: int, mer: int, groups: bool) -> Iter
             left_max[p], right_max[p] = back[good], lcp[pairs[good]]
     for g in np.flatnonzero((size > 2) | ((size == 2) & groups)):
         s, e = int(starts[g]), int(starts[g + 1])
-        rights, lefts = batch.column(1)[s:e].to_pylist(), batch.column(2)[s:e].to_pylist()
+        lefts = batch.column(2)[s:e].to_pylist()
+        if not groups:
+            left_max[s:e], right_max[s:e] = extents(lcp[s : e - 1].tolist(), lefts, length)
+            continue
+        rights = batch.column(1)[s:e].to_pylist()
         for l, r, members in repeat_groups(rights, lefts, lcp[s : e - 1].tolist(), length):  # noqa: E741
-            if groups:
-                name = hashlib.sha256(lefts[members[0]][:l][::-1] + rights[members[0]][:r]).hexdigest()
-                out += [(name, int(a[s + i]), int(b[s + i]), int(at[s + i]) - l, l + r) for i in members]
-            else:
-                for i in members:
-                    left_max[s + i], right_max[s + i] = max(left_max[s + i], l), max(right_max[s + i], r)
+            name = hashlib.sha256(lefts[members[0]][:l][::-1] + rights[members[0]][:r]).hexdigest()
+            out += [(name, int(a[s + i]), int(b[s + i]), int(at[s + i]) - l, l + r) for i in members]
     if groups:
         names = ["repeat", "a", "b", "start", "length"]
         types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
