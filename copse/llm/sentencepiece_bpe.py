@@ -47,6 +47,7 @@ class Agenda:
         n = self.library.vocab_size()
         self.pieces = [self.library.id_to_piece(i) for i in range(n)]
         self.bytes = {i: int(p[3:5], 16) for i, p in enumerate(self.pieces) if self.library.is_byte(i)}
+        self.decimal = [str(i) for i in range(n)]
         self.of_byte = {b: i for i, b in self.bytes.items()}
         self.ids = {p: i for i, p in enumerate(self.pieces) if not (i in self.bytes or self.library.is_control(i) or self.library.is_unknown(i))}
         scores = sorted({self.library.get_score(i) for i in self.ids.values()}, reverse=True)
@@ -101,12 +102,11 @@ class Agenda:
                     r = rank(left + both)
                     if r is not None:
                         heappush(agenda, ((r << bits | h) << bits) | (len(left) + length))
-        out: list[int] = []
-        for s in sym:
-            if s:
-                i = self.ids.get(s)
-                out += [i] if i is not None else [self.of_byte[b] for b in s.encode("utf-8", "surrogatepass")]
-        return out
+        ids = self.ids
+        try:
+            return [ids[s] for s in sym if s]
+        except KeyError:  # a character outside the vocabulary
+            return [i for s in sym if s for i in ([ids[s]] if s in ids else [self.of_byte[b] for b in s.encode("utf-8", "surrogatepass")])]
 
     def text_of(self, ids: list[int]) -> str:
         """The text of ids, U+2581 as spaces; bytes that are no UTF-8 become U+FFFD."""
@@ -127,8 +127,10 @@ class Agenda:
         got = self.older.get(chunk)
         if got is None:
             ids = self.merge(chunk)
-            got = ",".join(map(str, ids))
-            if (text := self.text_of(ids)) != chunk.replace(SPACE, " "):
+            decimal = self.decimal
+            got = ",".join([decimal[i] for i in ids])
+            # ids of pieces alone decode to the chunk, of which they are the parts
+            if not self.bytes.keys().isdisjoint(ids) and (text := self.text_of(ids)) != chunk.replace(SPACE, " "):
                 self.odd[chunk] = text
             self.fresh.append((chunk, ids))
         if len(chunk) <= 64:
