@@ -260,20 +260,38 @@ def test_training_rows_are_not_held_out(spark):
     assert len(rows) == 60 and all(crc32(str(r.id).encode()) % 5 for r in rows) and 8 not in {r.id for r in rows}
 
 
-@pytest.mark.parametrize("dim", [3, 8])
-def test_top_k(spark, dim):
+@pytest.mark.parametrize(("dim", "tight"), [(3, False), (8, False), (24, True)])
+def test_top_k(spark, dim, tight):
     r = np.random.default_rng(dim)
-    rows = [(i, r.normal(size=dim).tolist()) for i in range(300)]
+    rows = [(i, (r.normal(size=dim) / (1 + 9 * tight) + 5 * tight * np.eye(dim)[i // 40 % dim]).tolist()) for i in range(300)]
     rows += [(300 + i, rows[5][1]) for i in range(30)] + [(400, None), (401, [float("nan")] * dim), (402, [None] * dim), (None, rows[3][1]), (403, [1.0] * (dim + 1)), (420, [])]
     x = kdtree_topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    search = kdtree_topk.Search(x, x.where("id % 20 = 0"), 20, shard_rows=32, leaf=8, growth=2, sample=200)
     got = defaultdict(list)
-    for t in kdtree_topk.top_k(x, x.where("id % 20 = 0"), 20, 64, 5, 2).collect():
+    for t in search.result().collect():
         got[t.query_id].append((t.rank, t.vec_id, t.score))
     v = {i: np.floor(64 * np.array(e, np.float32).astype(float)).astype(int) for i, e in rows[:330]}
     for q in (i for i in v if i % 20 == 0):
         best = sorted((-int(v[q] @ v[i]), i) for i in v if i != q)[:20]
         assert sorted(got[q]) == [(k, i, -s) for k, (s, i) in enumerate(best, 1)]
     assert 420 not in got and kdtree_topk.top_k(x.limit(0), x.limit(0)).count() == 0
+    assert kdtree_topk.top_k(x, x.limit(0)).count() == 0
+    share = search.opened.value / (17 * search.leaves)
+    assert 0 < share <= (0.5 if tight or dim == 3 else 1)
+
+
+def test_top_k_repeated_ids_and_huge_components(spark):
+    big = 3e38
+    rows = [(0, [1.0, 2.0]), (0, [0.5, 9.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (1, [2.0, 0.0]), (2, [big, big]), (3, [-big, 1.0]), (20, [big, 1.0])]
+    x = kdtree_topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    got = defaultdict(list)
+    for t in kdtree_topk.top_k(x, x.where("id % 20 = 0"), 20, leaf=1, shard_rows=2).orderBy("query_id", "rank").collect():
+        got[t.query_id].append((t.vec_id, t.score))
+    end = (1 << 63) - 1
+    cap = lambda s: min(max(s, -end - 1), end)
+    v = [(i, [cap(int(np.floor(64 * float(np.float32(c))))) for c in e]) for i, e in rows]
+    for q, own in ((0, [32, 576]), (20, v[7][1])):  # the least vector of the id 0 asks
+        assert got[q] == [(i, -s) for s, i in sorted((-cap(own[0] * e[0] + own[1] * e[1]), i) for i, e in v if i != q)]
 
 
 def test_sentencepiece(spark):
