@@ -1,10 +1,16 @@
 """Document quality: a linear-chain conditional random field labels every line good or bad.
 
 Each line has features of its own (shares of character classes, repeated
-words, length) and those of the lines before and after it.  The chain is
-trained on documents whose lines all carry the document's label.  A document's
-mean of the lines' forward-backward marginals, weighted by length, is put on
-the scale of the label by a logistic fit on the same training documents.
+words, length) and those of the lines before and after it.  Only documents are
+labelled; which of their lines bear the other label is found by expectation and
+maximisation: a fit without transitions, with the document's label on every
+line, says which lines contradict it; those change sides, the clearest first,
+while most of the document's length keeps its label; the chain is fitted to the
+lines' labels, and once more after its own marginals have dealt them anew.  As
+labelled documents seldom are of two minds, each fit also sees documents spliced
+from runs of lines of a good one and a bad one, so that the chain learns where
+labels change.  A document's mean of the lines' forward-backward marginals, weighted by length, is
+put on the scale of the label by a logistic fit on the same training documents.
 """
 
 from __future__ import annotations
@@ -25,6 +31,10 @@ from .fitting import labelled_sample, minimise, sigmoid
 
 #: Training texts of each class, at most.
 PER_CLASS = 2000
+#: Fits of the chain after the one without transitions; a line changes sides where the other label is at least so likely.
+ROUNDS, SURE = 2, 0.8
+#: Spliced training documents: at most as many, of so much weight all together, beside 1 of the others.
+SPLICED, SPLICE_WEIGHT = 1000, 0.3
 OWN = 15
 FEATURES = 3 * OWN + 3
 
@@ -110,7 +120,7 @@ class Chain:
 
 
 def _loss(v: np.ndarray, xs: list[np.ndarray], y: np.ndarray, weight: np.ndarray, l2: float) -> tuple[float, np.ndarray]:
-    """Penalised negative log-likelihood of documents, longest first, whose lines all have label y; its gradient."""
+    """Penalised negative log-likelihood of documents, longest first, whose lines have labels ``y``, one after another; its gradient."""
     unary, trans = v[:FEATURES], v[FEATURES:].reshape(2, 2)
     size = np.array([len(x) for x in xs])
     start = np.cumsum(size) - size
@@ -136,11 +146,38 @@ def _loss(v: np.ndarray, xs: list[np.ndarray], y: np.ndarray, weight: np.ndarray
         pair += (weight[: alive[t], None, None] * joint).sum(0)
     doc = np.repeat(np.arange(m), size)
     good = np.exp(f[:, 1] + b[:, 1] - z[doc])
-    path = np.bincount(doc, s[np.arange(len(x)), y[doc]], m) + (size - 1) * trans[y, y]
+    inner = np.setdiff1d(np.arange(len(x)), start)  # lines with one before them
+    path = np.bincount(doc, s[np.arange(len(x)), y], m) + np.bincount(doc[inner], trans[y[inner - 1], y[inner]], m)
     value = (weight * (z - path)).sum() + l2 / 2 * (v @ v)
     own = np.zeros((2, 2))
-    np.add.at(own, (y, y), weight * (size - 1))
-    return value, np.concatenate([x.T @ (weight[doc] * (good - y[doc])), (pair - own).ravel()]) + l2 * v
+    np.add.at(own, (y[inner - 1], y[inner]), weight[doc[inner]])
+    return value, np.concatenate([x.T @ (weight[doc] * (good - y)), (pair - own).ravel()]) + l2 * v
+
+
+def relabelled(good: np.ndarray, length: np.ndarray, label: int) -> np.ndarray:
+    """Labels of a document's lines: the document's own, but for lines whose marginals contradict it by SURE, the clearest
+    first, while they have less than half of its length."""
+    out = np.full(len(good), label)
+    other = 1 - good if label else good
+    order = np.argsort(-other, kind="stable")
+    order = order[other[order] >= SURE]
+    out[order[2 * np.cumsum(length[order]) < length.sum()]] = 1 - label
+    return out
+
+
+def spliced(lines: list[list[str]], marks: list[np.ndarray], y: np.ndarray, count: int = SPLICED) -> list[tuple[str, np.ndarray]]:
+    """Texts, with their lines' labels, each a document with a run of lines of one of the other label put in."""
+    rng = np.random.default_rng(11)
+    sides = [np.flatnonzero(y == k) for k in (0, 1)]
+    out = []
+    for n in range(min(count, 2 * min(map(len, sides)))):
+        outer, inner = (rng.choice(sides[k]) for k in ((1, 0) if n % 2 else (0, 1)))
+        at = int(rng.integers(len(lines[outer]) + 1))
+        first = int(rng.integers(len(lines[inner])))
+        last = int(rng.integers(first, len(lines[inner]))) + 1
+        text = [*lines[outer][:at], *lines[inner][first:last], *lines[outer][at:]]
+        out.append(("\n".join(text), np.concatenate([marks[outer][:at], marks[inner][first:last], marks[outer][at:]])))
+    return out
 
 
 def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, l2: float = 1.0) -> Chain:
@@ -152,7 +189,25 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, l2: float = 1
     made = [line_features(t) for t in texts]
     order = np.argsort([-len(x) for x, _ in made], kind="stable")
     xs, y, w = [made[i][0] for i in order], labels[order], weights[order] / weights.mean()
-    v = minimise(lambda v: _loss(v, xs, y, w / np.array([len(x) for x in xs]), l2), np.zeros(FEATURES + 4), steps=60, tol=1e-5)
+    per = w / np.array([len(x) for x in xs])
+    of_lines = np.concatenate([np.full(len(x), k) for x, k in zip(xs, y, strict=True)])
+
+    def alone(u: np.ndarray) -> tuple[float, np.ndarray]:  # without transitions
+        value, slope = _loss(np.concatenate([u, np.zeros(4)]), xs, of_lines, per, l2)
+        return value, slope[:FEATURES]
+
+    v = np.concatenate([minimise(alone, np.zeros(FEATURES), steps=60, tol=1e-5), np.zeros(4)])
+    lines = [texts[i].split("\n") for i in order]
+    for _ in range(ROUNDS):
+        chain = Chain(v[:FEATURES], v[FEATURES:].reshape(2, 2))
+        marks = [relabelled(chain.marginals(x), made[i][1], k) for x, i, k in zip(xs, order, y, strict=True)]
+        more = spliced(lines, marks, y)
+        docs = [(x, m, p) for x, m, p in zip(xs, marks, per, strict=True)]
+        for text, m in more:
+            docs.append((line_features(text)[0], m, SPLICE_WEIGHT * len(xs) / len(more) / len(m)))
+        docs.sort(key=lambda d: -len(d[0]))
+        all_x, all_y, all_w = [d[0] for d in docs], np.concatenate([d[1] for d in docs]), np.array([d[2] for d in docs])
+        v = minimise(lambda v: _loss(v, all_x, all_y, all_w, l2), v, steps=60, tol=1e-5)
     chain = Chain(v[:FEATURES], v[FEATURES:].reshape(2, 2))
     mean = np.array([chain.marginals(made[i][0]) @ made[i][1] / made[i][1].sum() for i in order])
 
@@ -174,8 +229,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Cha
 def score(docs: DataFrame, chain: Chain, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """All columns of ``docs`` with ``score`` and ``predicted`` of each whole text.
 
-    Null counts as empty; an empty text is one empty line.  Rows are scored one
-    by one, so repeats and empty tables need no rule.
+    Null counts as empty; an empty text is one empty line; a long one is read
+    whole, in time linear in it.  Rows are scored one by one, so repeats and
+    empty tables need no rule; columns of the same names are replaced.
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     place = docs.columns.index(text_col)  # the text goes to the workers once, inside its row
