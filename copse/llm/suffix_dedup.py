@@ -9,8 +9,8 @@ Common prefixes of neighbours give the interval tree by a stack scan; in each
 interval the bytes to the left are scanned the same way, and an interval of
 both whose occurrences differ on either side is a maximal repeat group.
 
-Texts never leave their own partition but once, keyed by content, and equal
-texts are handled as one.  Anchors that occur once are dropped before any bytes
+Texts never leave their own partition but once, keyed by content; equal texts
+are made one there before they leave, and one where they meet.  Anchors that occur once are dropped before any bytes
 move; of the others ``length`` bytes to the right and ``length`` - ``MER`` to
 the left do.  Anchors with more than ``GROUP`` occurrences go another exact
 way: their occurrences are dealt into units, in which digests (128 bits) of what
@@ -208,9 +208,9 @@ _SPAN = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("lo", pa.int64()), ("h
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, mer: int) -> Iterator[pa.RecordBatch]:
-    """Of (a, b, text): a row ``(a, hash, n)`` for each text and anchor hash in it, with how often."""
+    """Of (a, b, text): a row ``(a, b, hash, n)`` for each text and anchor hash in it, with how often."""
     for batch in batches:
-        a, texts = batch.column(0).to_numpy(), batch.column(2)
+        a, b, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
         hashes, counts, sizes = [], [], []
         for i in range(len(texts)):
             h, n = np.unique(anchors(texts[i].as_py(), length, mer)[1], return_counts=True)
@@ -218,7 +218,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, mer: int) -> It
             counts.append(n)
             sizes.append(len(h))
         if hashes:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(a, sizes)), pa.array(np.concatenate(hashes)), pa.array(np.concatenate(counts).astype(np.int32))], names=["a", "hash", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(a, sizes)), pa.array(np.repeat(b, sizes)), pa.array(np.concatenate(hashes)), pa.array(np.concatenate(counts).astype(np.int32))], names=["a", "b", "hash", "n"])
 
 
 def _context_rows(batches: Iterator[pa.RecordBatch], length: int, mer: int, salts: int) -> Iterator[pa.RecordBatch]:
@@ -458,27 +458,28 @@ class Repeats:
         self.docs = docs
         long = docs.select(self.text.cast("binary").alias("text")).where(F.octet_length("text") >= length)
         keyed = long.select(*_ints("", F.sha2("text", 256)), "text").where("a IS NOT NULL AND b IS NOT NULL")  # never null; said here, so that all uses share one exchange
-        self.texts = keyed.repartition("a").dropDuplicates(["a", "b"])
+        # copies are reduced before the exchange, so that a text of many copies sends one from each partition
+        self.texts = keyed.groupBy("a", "b").agg(F.any_value("text").alias("text"))
         # anchors are read twice below: as a table, since a plan with such a function in it is run anew for each use
         path = scratch(docs.sparkSession, "anchors")
-        keyed.mapInArrow(lambda x: _anchor_rows(x, length, mer), "a long, hash long, n int").write.parquet(path)
+        keyed.mapInArrow(lambda x: _anchor_rows(x, length, mer), "a long, b long, hash long, n int").write.parquet(path)
         found = docs.sparkSession.read.parquet(path)
         # copies of a text are counted here as well: that only sends more than is needed
         often = found.groupBy("hash").agg(F.sum("n").alias("total")).where("total > 1")
-        most = often.agg(F.max("total")).first()[0] or 0
-        self.hot, self.salts = most > group, max(SALTS, most // UNIT)
+        most, rows = often.agg(F.max("total"), F.sum(F.when(F.col("total") > group, F.col("total")))).first()
+        self.hot, self.salts = (most or 0) > group, max(SALTS, (most or 0) // UNIT)
+        self.tasks = max(SALTS, (rows or 0) // (4 * UNIT))  # for hot anchors: by work, as their rows are few bytes and much of it
         # a key of its own keeps the exchanges of the join apart from the sum's, so that a hot anchor's rows can be split
-        hits = found.select("a", (F.col("hash") + F.lit(0)).alias("hash")).join(often.select((F.col("hash") + F.lit(0)).alias("hash"), "total"), "hash")
-        # half the key is enough here: texts that share it would only send more than they need
-        own = hits.groupBy("a").agg(F.collect_set(F.when(F.col("total") <= group, F.col("hash"))).alias("few"), F.collect_set(F.when(F.col("total") > group, F.col("hash"))).alias("many"))
-        self.around = self.texts.join(own, "a")
+        hits = found.select("a", "b", (F.col("hash") + F.lit(0)).alias("hash")).join(often.select((F.col("hash") + F.lit(0)).alias("hash"), "total"), "hash")
+        own = hits.groupBy("a", "b").agg(F.collect_set(F.when(F.col("total") <= group, F.col("hash"))).alias("few"), F.collect_set(F.when(F.col("total") > group, F.col("hash"))).alias("many"))
+        self.around = self.texts.join(own, ["a", "b"])
 
     def _contexts(self, hot: bool = False) -> DataFrame:
         """Context rows, dealt by anchor; those of hot anchors by salt too."""
         length, mer, salts = self.length, self.mer, self.salts if hot else 0
         texts = self.around.where(F.size("many") > 0) if hot else self.around
         rows = texts.select("a", "b", "text", "few", "many").mapInArrow(lambda x: _context_rows(x, length, mer, salts), "hash long, right binary, left binary, a long, b long, lo long, hi long, salt int")
-        return rows.repartition("hash", "salt")
+        return rows.repartition(self.tasks, "hash", "salt") if hot else rows.repartition("hash", "salt")
 
     def _sorted(self, groups: bool, schema: str) -> DataFrame:
         length, mer = self.length, self.mer
@@ -503,10 +504,10 @@ class Repeats:
         # whenever they run, and tells of each string once, so that the lists below stay short
         units = self._contexts(hot=True).sortWithinPartitions("hash", "salt", "right", "left", "a", "b", "lo")
         window = "w1 long, w2 long, a long, b long, lo long, hi long, sure boolean"
-        cores = units.mapInArrow(lambda x: _probe(x, length, mer, True), "w1 long, w2 long, a long, b long, lo long, left binary, right binary").repartition("w1")
+        cores = units.mapInArrow(lambda x: _probe(x, length, mer, True), "w1 long, w2 long, a long, b long, lo long, left binary, right binary").repartition(self.tasks, "w1")
         met = cores.groupBy("w1", "w2").agg(F.collect_list(F.struct("a", "b", "lo", "left", "right")).alias("rows")).where(F.size("rows") > 1)
         opened = met.select("w1", "w2", F.inline("rows")).where("left is not null").mapInArrow(lambda x: _opened(x, length), window)
-        windows = units.mapInArrow(lambda x: _probe(x, length, mer, False), window).unionByName(opened).repartition("w1")
+        windows = units.mapInArrow(lambda x: _probe(x, length, mer, False), window).unionByName(opened).repartition(self.tasks, "w1")
         again = windows.groupBy("w1", "w2").agg(F.collect_list(F.struct("a", "b", "lo", "hi")).alias("rows"), F.max("sure").alias("sure")).where((F.size("rows") > 1) | F.col("sure"))
         return few.unionByName(again.select(F.inline("rows")))
 
@@ -517,9 +518,8 @@ class Repeats:
         throughout.  Shorter texts keep all bytes.
         """
         length = self.length
-        # by half the key, by which the texts are dealt already; the function tells the few texts apart that share it
-        per = self.spans().groupBy("a").agg(F.collect_list(F.struct("lo", "hi", "b")).alias("spans"))
-        cut_ = self.texts.join(per, "a").select("a", "b", "text", "spans").mapInArrow(_kept, "a long, b long, removed long, spans long, kept string")
+        per = self.spans().groupBy("a", "b").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+        cut_ = self.texts.join(per, ["a", "b"]).select("a", "b", "text", "spans").mapInArrow(_kept, "a long, b long, removed long, spans long, kept string")
         sha = F.sha2(self.text.cast("binary"), 256)
         rows = self.docs.select(F.col(f"`{id_col}`").alias("id"), sha.alias("sha"), F.octet_length(self.text).cast("long").alias("n_bytes"))
         rows = rows.select("id", "sha", "n_bytes", *_ints("", F.col("sha")))
@@ -548,8 +548,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         removed, count, kept = [], [], []
         for i in range(batch.num_rows):
             own = batch.column(3)[i].values
-            mine = own.field(2).to_numpy() == batch.column(1)[i].as_py()
-            lo, hi = _merged(own.field(0).to_numpy()[mine], own.field(1).to_numpy()[mine])
+            lo, hi = _merged(own.field(0).to_numpy(), own.field(1).to_numpy())
             removed.append(int((hi - lo).sum()))
             count.append(len(lo))
             kept.append(hashlib.sha256(without(batch.column(2)[i].as_py(), lo, hi)).hexdigest())
