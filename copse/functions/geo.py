@@ -106,6 +106,12 @@ def staged(df: DataFrame, stages: Stages) -> DataFrame:
     return df
 
 
+def placed(df: DataFrame, stages: Stages, *results: str) -> DataFrame:
+    """``df`` with these results of the last step alone; filters on them stay above the steps, where they do not repeat them."""
+    made = staged(df, stages).select(*df.columns, F.explode(F.array(F.struct(*results))).alias("_at"))
+    return made.select(*df.columns, *[f"_at.{r}" for r in results])
+
+
 def together(*stages: Stages) -> Stages:
     """Steps of independent computations, side by side."""
     return [{k: v for s in step for k, v in s.items()} for step in zip(*stages, strict=True)]
@@ -118,14 +124,25 @@ def nested(sql: str, stages: Stages) -> str:
     return sql
 
 
-def system(epsg: int) -> tuple[int, int, str, float]:
-    return next(s for s in SYSTEMS if s[0] == epsg)
+def zone_sql(epsg: str) -> str:
+    """Zone of a UTM system: WGS84 north and south, NAD83, NAD83(CSRS); null for any other."""
+    return f"CASE WHEN {epsg} BETWEEN 32601 AND 32660 THEN {epsg} - 32600 WHEN {epsg} BETWEEN 32701 AND 32760 THEN {epsg} - 32700 WHEN {epsg} BETWEEN 26901 AND 26923 THEN {epsg} - 26900 WHEN {epsg} IN (2956, 2957) THEN {epsg} - 2940 END"
+
 
+def reprojection(e: str, n: str, source: str, target: str, p: str) -> Stages:
+    """Steps from the system ``source`` to ``target`` (columns of EPSG codes) over degrees, to ``{p}e`` and ``{p}n``.
 
-def reprojection(e: str, n: str, source: int, target: int, p: str) -> Stages:
-    """Steps from one system to another over degrees, to ``{p}e`` and ``{p}n``; datums count as equal on the globe."""
-    a, b = system(source), system(target)
-    return [*inverse(e, n, str(a[1]), a[3], p), *forward(f"{p}lon", f"{p}lat", str(b[1]), b[3], p)]
+    Datums count as equal on the globe, and both ways go over GRS80, which differs from WGS84 by a tenth of a millimetre.
+    Equal codes leave a position as it is; an unknown system gives null.
+    """
+    south = lambda code: f"CASE WHEN {code} BETWEEN 32701 AND 32760 THEN 1.0e7 ELSE 0.0e0 END"
+    invf = min(s[3] for s in SYSTEMS)
+    return [
+        {f"{p}zs": zone_sql(source), f"{p}zt": zone_sql(target), f"{p}f": f"{n} - {south(source)}"},
+        *inverse(e, f"{p}f", f"{p}zs", invf, f"{p}i"),
+        *forward(f"{p}ilon", f"{p}ilat", f"{p}zt", invf, f"{p}o"),
+        {f"{p}e": f"CASE WHEN {source} = {target} THEN {e} ELSE {p}oe END", f"{p}n": f"CASE WHEN {source} = {target} THEN {n} ELSE {p}on + {south(target)} END"},
+    ]
 
 
 def zone_of(lon: Column) -> Column:

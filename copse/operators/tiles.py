@@ -1,9 +1,9 @@
 """Tile catalogue, coverage diagnosis and clipping of plots.
 
 Tiles: path, dir, kind (CHM or LAZ), epsg, xmin, ymin, xmax, ymax.  Plots:
-plot_id, e, n, epsg.  A plot and its tiles are compared in the plot's system;
-where the systems differ but share the ellipsoid and zone the positions are
-the same.
+plot_id, e, n, epsg.  A plot's sample points and corners are projected to the
+system of each tile they are compared with; tiles and plots without a system
+take no part.
 """
 
 from __future__ import annotations
@@ -11,11 +11,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geo import placed, reprojection
+
 BUFFER, HALF, CELL = 2.0, 10.0, 64.0
 #: Sample points: four corners from the lower left, then the middles of the south, east, north and west sides.
 SAMPLES = ((-1, -1), (1, -1), (1, 1), (-1, 1), (0, -1), (1, 0), (0, 1), (-1, 0))
 
 
+def plot_name(name: Column) -> Column:
+    """Plot ids of the clip: without white space around, in capitals."""
+    return F.upper(F.trim(name))
+
+
 def norm_key(name: Column) -> Column:
     """Lower case without white space, hyphens and underscores."""
     return F.lower(F.regexp_replace(name, r"[\s\-_]+", ""))
@@ -82,13 +89,25 @@ def inside(x: Column, y: Column, buffer: float = BUFFER) -> Column:
     return x.between(F.col("xmin") - buffer, F.col("xmax") + buffer) & y.between(F.col("ymin") - buffer, F.col("ymax") + buffer)
 
 
+def rectangles(plots: DataFrame, systems: DataFrame, half: float = HALF) -> DataFrame:
+    """``(plot_id, epsg, x0, y0, x1, y1)``: each square's lower left and upper right corner in each system, as a rectangle there.
+
+    ``systems``: one column ``epsg`` of distinct codes; the known ones are fewer than 150, so it is broadcast.
+    """
+    at = plots.where("epsg IS NOT NULL").select("plot_id", "e", "n", F.col("epsg").alias("own")).crossJoin(F.broadcast(systems.where("epsg IS NOT NULL").limit(150)))
+    at = at.select("plot_id", "own", "epsg", "e", "n", F.explode(F.array(F.lit(-half), F.lit(half))).alias("d")).selectExpr("plot_id", "own", "epsg", "e + d AS x", "n + d AS y")
+    at = placed(at, reprojection("x", "y", "own", "epsg", "q"), "qe", "qn").where("qe IS NOT NULL")
+    return at.groupBy("plot_id", "epsg").agg(F.min("qe").alias("x0"), F.min("qn").alias("y0"), F.max("qe").alias("x1"), F.max("qn").alias("y1"))
+
+
 def overlap(plots: DataFrame, tiles: DataFrame, half: float = HALF, buffer: float = BUFFER) -> DataFrame:
-    """``(plot_id, path)`` whose square meets the tile's bounds, buffered: an equi-join on grid cells, then the exact test."""
+    """``(plot_id, path)`` whose square meets the tile's bounds, buffered: an equi-join on system and grid cells, then the exact test."""
     cells = lambda a, b: F.explode(F.sequence(F.floor(a / CELL), F.floor(b / CELL)))
-    p = plots.select("plot_id", "e", "n", cells(F.col("e") - half - buffer, F.col("e") + half + buffer).alias("cx")).select("*", cells(F.col("n") - half - buffer, F.col("n") + half + buffer).alias("cy"))
-    t = tiles.select("path", "xmin", "ymin", "xmax", "ymax", cells(F.col("xmin"), F.col("xmax")).alias("cx")).select("*", cells(F.col("ymin"), F.col("ymax")).alias("cy"))
-    meet = (F.col("e") - half <= F.col("xmax") + buffer) & (F.col("e") + half >= F.col("xmin") - buffer) & (F.col("n") - half <= F.col("ymax") + buffer) & (F.col("n") + half >= F.col("ymin") - buffer)
-    return p.join(t, ["cx", "cy"]).where(meet).select("plot_id", "path").distinct()
+    p = rectangles(plots, tiles.select("epsg").distinct(), half)
+    p = p.select("*", cells(F.col("x0") - buffer, F.col("x1") + buffer).alias("cx")).select("*", cells(F.col("y0") - buffer, F.col("y1") + buffer).alias("cy"))
+    t = tiles.select("epsg", "path", "xmin", "ymin", "xmax", "ymax", cells(F.col("xmin"), F.col("xmax")).alias("cx")).select("*", cells(F.col("ymin"), F.col("ymax")).alias("cy"))
+    meet = (F.col("x0") <= F.col("xmax") + buffer) & (F.col("x1") >= F.col("xmin") - buffer) & (F.col("y0") <= F.col("ymax") + buffer) & (F.col("y1") >= F.col("ymin") - buffer)
+    return p.join(t, ["epsg", "cx", "cy"]).where(meet).select("plot_id", "path").distinct()
 
 
 def coverage(plots: DataFrame, tiles: DataFrame) -> DataFrame:
@@ -97,19 +116,19 @@ def coverage(plots: DataFrame, tiles: DataFrame) -> DataFrame:
     Tiles without a system or bounds take no part; a plot without any tile of
     a kind has mode none and all points missing.
     """
-    kinds = plots.select("plot_id", "e", "n", F.explode(F.array(F.lit("CHM"), F.lit("LAZ"))).alias("kind"))
-    cand = candidates(plots.select("plot_id"), tiles.where("epsg IS NOT NULL AND xmin IS NOT NULL")).select("plot_id", "path", "kind", "xmin", "ymin", "xmax", "ymax")
-    both = kinds.join(cand, ["plot_id", "kind"], "left")
-    hit = F.array(*[F.coalesce(inside(F.col("e") + HALF * dx, F.col("n") + HALF * dy), F.lit(False)) for dx, dy in SAMPLES])
-    both = both.withColumn("hit", hit)
-    per = both.select("plot_id", "kind", "path", F.forall(F.slice("hit", 1, 4), lambda h: h).alias("all4"), F.exists("hit", lambda h: h).alias("any"), *[F.get("hit", F.lit(i)).alias(f"h{i}") for i in range(8)])
+    kinds = plots.select("plot_id", "e", "n", F.col("epsg").alias("own"), F.explode(F.array(F.lit("CHM"), F.lit("LAZ"))).alias("kind"))
+    cand = candidates(plots.select("plot_id"), tiles.where("epsg IS NOT NULL AND xmin IS NOT NULL")).select("plot_id", "path", "kind", "epsg", "xmin", "ymin", "xmax", "ymax")
+    at = F.array(*[F.struct((F.col("e") + HALF * dx).alias("x"), (F.col("n") + HALF * dy).alias("y")) for dx, dy in SAMPLES])
+    points = kinds.join(cand, ["plot_id", "kind"], "left").select("*", F.posexplode(at).alias("idx", "p")).select("plot_id", "kind", "path", "own", "epsg", "xmin", "ymin", "xmax", "ymax", "idx", "p.x", "p.y")
+    points = placed(points, reprojection("x", "y", "own", "epsg", "q"), "qe", "qn")
+    hit = F.coalesce(inside(F.col("qe"), F.col("qn")), F.lit(False))
+    per = points.withColumn("hit", hit).groupBy("plot_id", "kind", "path").agg(F.bool_and(F.when(F.col("idx") < 4, F.col("hit"))).alias("all4"), F.bool_or("hit").alias("any"), F.collect_set(F.when(F.col("hit"), F.col("idx"))).alias("held"))
     agg = per.groupBy("plot_id", "kind").agg(
         F.bool_or("all4").alias("single"), F.count("path").alias("n_tiles"),
         F.array_sort(F.collect_set(F.when(F.col("all4"), F.col("path")))).alias("single_tiles"), F.array_sort(F.collect_set(F.when(F.col("any"), F.col("path")))).alias("union_tiles"),
-        F.array_sort(F.collect_set("path")).alias("all_tiles"), *[F.bool_or(f"h{i}").alias(f"h{i}") for i in range(8)],
+        F.array_sort(F.collect_set("path")).alias("all_tiles"), F.flatten(F.collect_list("held")).alias("held"),
     )
-    held = F.array(*[F.col(f"h{i}") for i in range(8)])
-    missing = F.filter(F.sequence(F.lit(0), F.lit(7)), lambda i: ~F.get(held, i))
+    missing = F.array_except(F.sequence(F.lit(0), F.lit(7)), "held")
     mode = F.when(F.col("single"), "single").when(F.size(missing) == 0, "union").otherwise("none")
     return agg.select("plot_id", "kind", "n_tiles", mode.alias("mode"), "single_tiles", "union_tiles", "all_tiles", F.when(mode == "none", missing).otherwise(F.array().cast("array<int>")).alias("missing"))
 
@@ -160,18 +179,33 @@ def clip_points(points: DataFrame, boxes: DataFrame, cell: float = 20.0) -> Data
     return p.join(b, ["cx", "cy"]).where(hit).drop("cx", "cy", "xmin", "ymin", "xmax", "ymax")
 
 
-def merge_points(points: DataFrame, by: str = "box", part: str = "point_format") -> DataFrame:
-    """Only points in the format of the first part of each clip (the least format stands first)."""
-    first = points.groupBy(by).agg(F.min(part).alias("_first"))
+def merge_points(points: DataFrame, by: str = "box", part: str = "point_format", order: str = "path") -> DataFrame:
+    """Only points in the format of the first file of each clip."""
+    first = points.groupBy(by).agg(F.min_by(part, order).alias("_first"))
     return points.join(first, by).where(F.col(part) == F.col("_first")).drop("_first")
 
 
-def clip_pixels(pixels: DataFrame, centre: tuple[float, float], px: float, size: float = 20.0, side: int = 40) -> DataFrame:
-    """Pixel-aligned window: the size in pixels rounded to even, 2 at least, cut at the raster's edge."""
-    n = int(round(size / px))
-    n = max(2, n + n % 2)
-    col, row = int(centre[0] // px) - n // 2, int(centre[1] // px) - n // 2
-    return pixels.where(F.col("row").between(max(row, 0), min(row + n, side) - 1) & F.col("col").between(max(col, 0), min(col + n, side) - 1))
+def clip_windows(pairs: DataFrame, size: float = 2 * HALF) -> DataFrame:
+    """``(plot_id, path, row0, row1, col0, col1)``: pixel-aligned windows around plots, ends excluded; pairs without any pixel drop out.
+
+    ``pairs``: plot_id, e, n, epsg and the raster's path, tile_epsg, x0 and y0 (upper left corner), px_x, px_y, width and
+    height.  A side is the size in pixels rounded half to even, then up to even, 2 at least, cut at the raster's edge.
+    """
+    at = placed(pairs, reprojection("e", "n", "epsg", "tile_epsg", "q"), "qe", "qn").where("qe IS NOT NULL AND px_x > 0 AND px_y > 0")
+    span = lambda px: F.greatest(F.lit(2), F.bround(F.lit(size) / F.col(px)).cast("long") + F.pmod(F.bround(F.lit(size) / F.col(px)).cast("long"), F.lit(2)))
+    at = at.withColumns({"_w": span("px_x"), "_h": span("px_y"), "_c": F.floor((F.col("qe") - F.col("x0")) / F.col("px_x")), "_r": F.floor((F.col("y0") - F.col("qn")) / F.col("px_y"))})
+    first = lambda c, n: F.col(c) - F.floor(F.col(n) / 2)
+    at = at.select(
+        "plot_id", "path", F.greatest(first("_r", "_h"), F.lit(0)).alias("row0"), F.least(first("_r", "_h") + F.col("_h"), F.col("height")).alias("row1"),
+        F.greatest(first("_c", "_w"), F.lit(0)).alias("col0"), F.least(first("_c", "_w") + F.col("_w"), F.col("width")).alias("col1"),
+    )
+    return at.where("row0 < row1 AND col0 < col1")
+
+
+def clip_pixels(pixels: DataFrame, windows: DataFrame) -> DataFrame:
+    """``(plot_id, path, row, col, ...)``: pixels (path, row, col, ...) of each window, rows and columns as in the raster."""
+    hit = (F.col("row") >= F.col("row0")) & (F.col("row") < F.col("row1")) & (F.col("col") >= F.col("col0")) & (F.col("col") < F.col("col1"))
+    return pixels.join(windows, "path").where(hit).select("plot_id", *pixels.columns)
 
 
 def mosaic(pixels: DataFrame, order: str = "ord") -> DataFrame:

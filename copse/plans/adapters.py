@@ -42,18 +42,18 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# -- trees and pixels: 25 plots ----------------------------------------------------------------
+# -- trees and pixels: 12 trees a plot, all parts ---------------------------------------------
 
 TREES = """a_trees AS (
-  SELECT p_partkey % 25 AS plot_id, (37 * (p_partkey // 25) + 7 * (p_partkey % 25)) % 40 AS "row",
-    (3 * (p_partkey // 25) * (p_partkey // 25) + 11 * (p_partkey // 25) + 5 * (p_partkey % 25)) % 40 AS col,
+  SELECT p_partkey // 12 AS plot_id, (37 * (p_partkey % 12) + 7 * (p_partkey // 12)) % 40 AS "row",
+    (3 * (p_partkey % 12) * (p_partkey % 12) + 11 * (p_partkey % 12) + 5 * (p_partkey // 12)) % 40 AS col,
     4.0e0 + p_size % 20 AS h, p_partkey AS tree_id
-  FROM part WHERE p_partkey // 25 < 12)"""
+  FROM part)"""
 
 PIXELS = (
     TREES
     + """,
-grid AS (SELECT CAST(n_nationkey AS BIGINT) AS plot_id, CAST(r.range AS BIGINT) AS "row", CAST(c.range AS BIGINT) AS col FROM nation, range(40) r, range(40) c),
+grid AS (SELECT plot_id, CAST(r.range AS BIGINT) AS "row", CAST(c.range AS BIGINT) AS col FROM (SELECT DISTINCT plot_id FROM a_trees), range(40) r, range(40) c),
 a_pixels AS (
   SELECT g.plot_id, g."row", g.col,
     coalesce(max(greatest(0.0e0, t.h * (1.0e0 - ((g."row" - t."row") * (g."row" - t."row") + (g.col - t.col) * (g.col - t.col)) / 36.0e0))), 0.0e0)
@@ -65,22 +65,19 @@ a_pixels AS (
 
 def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
-    j, p = F.floor(key / 25).cast("long"), key % 25
-    return (
-        table(spark, sf_dir, "part").select("p_partkey", "p_size").where(j < 12)
-        .select(p.alias("plot_id"), ((37 * j + 7 * p) % 40).alias("row"), ((3 * j * j + 11 * j + 5 * p) % 40).alias("col"), (4.0 + F.col("p_size") % 20).alias("h"), key.alias("tree_id"))
-    )
+    p, j = F.floor(key / 12).cast("long"), key % 12
+    return table(spark, sf_dir, "part").select("p_partkey", "p_size").select(p.alias("plot_id"), ((37 * j + 7 * p) % 40).alias("row"), ((3 * j * j + 11 * j + 5 * p) % 40).alias("col"), (4.0 + F.col("p_size") % 20).alias("h"), key.alias("tree_id"))
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = F.sequence(F.lit(0).cast("long"), F.lit(39).cast("long"))
-    grid = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("plot_id"), F.explode(side).alias("row")).select("plot_id", "row", F.explode(side).alias("col"))
     t = trees(spark, sf_dir).groupBy("plot_id").agg(F.collect_list(F.struct("row", "col", "h")).alias("tops"))  # 12 trees a plot at most
+    grid = t.select("plot_id", "tops", F.explode(side).alias("row")).select("plot_id", "tops", "row", F.explode(side).alias("col"))
     r, c, p = F.col("row"), F.col("col"), F.col("plot_id")
     reach = lambda x: F.greatest(F.lit(0.0), x.h * (1.0 - ((r - x.row) * (r - x.row) + (c - x.col) * (c - x.col)) / 36.0))
     bare = ((r * 31 + c * 17 + p * 13) % 10) / 20.0
     z = F.coalesce(F.array_max(F.transform("tops", reach)), F.lit(0.0)) + bare
-    return grid.join(t, "plot_id", "left").select("plot_id", "row", "col", z.alias("z"), ((r * 7 + c * 11 + p) % 53 == 0).alias("nodata"))
+    return grid.select("plot_id", "row", "col", z.alias("z"), ((r * 7 + c * 11 + p) % 53 == 0).alias("nodata"))
 
 
 # -- scores and features -----------------------------------------------------------------------
@@ -135,36 +132,41 @@ def gps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_gps_text("STRING", "{customer}"), customer=table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"))
 
 
-TILES = """a_tiles AS (
-  SELECT 'tiles/d' || CAST(s_suppkey % 7 AS VARCHAR) || '/VSN ' || lpad(CAST(s_suppkey % 60 + 1 AS VARCHAR), 6, '0') || '-' || CAST(s_suppkey AS VARCHAR) || CASE WHEN s_suppkey % 2 = 0 THEN '_CHM_1m.tif' ELSE '_LAZ_1m.copc.laz' END AS path,
-    'd' || CAST(s_suppkey % 7 AS VARCHAR) AS dir, CASE WHEN s_suppkey % 2 = 0 THEN 'CHM' ELSE 'LAZ' END AS kind,
-    CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE 2956 + s_suppkey % 2 END AS epsg,
-    500000.0e0 + (s_suppkey % 60) * 50.0e0 - 10.0e0 + (s_suppkey % 5) * 4.0e0 AS xmin, 5300000.0e0 + (s_suppkey % 60) * 30.0e0 - 10.0e0 AS ymin,
-    500000.0e0 + (s_suppkey % 60) * 50.0e0 + 6.0e0 + (s_suppkey % 5) * 4.0e0 AS xmax, 5300000.0e0 + (s_suppkey % 60) * 30.0e0 + 12.0e0 AS ymax
-  FROM supplier)"""
-#: Plots of the clip queries: 60 squares with centres on the tiles' lattice.
-PLOTS = """a_plots AS (
-  SELECT 'VSN' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS plot_id, 500000.0e0 + (c_custkey - 1) * 50.0e0 AS e, 5300000.0e0 + (c_custkey - 1) * 30.0e0 AS n,
-    CASE WHEN c_custkey % 11 = 0 THEN NULL WHEN c_custkey % 4 = 0 THEN 'EPSG:2957' ELSE 'EPSG:2956' END AS target_epsg, CASE WHEN c_custkey % 6 = 0 THEN 2956.0e0 END AS target_epsg_int,
-    CASE WHEN c_custkey % 22 = 0 THEN NULL ELSE -87.0e0 + c_custkey * 0.1e0 END AS lon, CASE WHEN c_custkey % 22 = 0 THEN NULL ELSE 47.0e0 END AS lat
-  FROM customer WHERE c_custkey <= 60)"""
+_PLACE = "round(-84.0e0 + (({k} * 37) % 401 - 200) * 0.0005e0, 6) AS lon0, round(47.0e0 + ({k} % 1777) * 0.001e0 + floor({k} / 1777.0e0) * 0.00037e0, 6) AS lat0"
+
+
+def _in_zone(sql: str) -> str:
+    """Adds the position (lon0, lat0) in the zone of epsg, 16 without one: ue, un; plots lie on both sides of the zones' border."""
+    return nested(sql, forward("lon0", "lat0", "CASE WHEN epsg IN (2957, 32617) THEN 17 ELSE 16 END", 298.257222101, "u"))
+
+
+def _plots_text(text: str, customer: str = "customer") -> str:
+    """Every customer is a plot."""
+    known = f"SELECT c_custkey AS k, {_PLACE.format(k='c_custkey')}, CASE WHEN c_custkey % 11 = 0 THEN NULL WHEN c_custkey % 4 = 0 THEN 'EPSG:2957' ELSE 'EPSG:2956' END AS target_epsg, CASE WHEN c_custkey % 6 = 0 THEN 2956.0e0 END AS target_epsg_int FROM {customer}"
+    system = "CASE WHEN target_epsg_int IS NOT NULL THEN 2956 WHEN target_epsg = 'EPSG:2957' THEN 2957 WHEN target_epsg IS NOT NULL THEN 2956 WHEN k % 22 <> 0 THEN 32601 + CAST(floor((lon0 + 180.0e0) / 6.0e0) AS INTEGER) END"
+    return f"""SELECT 'VSN' || lpad(CAST(k AS {text}), 6, '0') AS plot_id, round(ue, 3) AS e, round(un, 3) AS n,
+    epsg, target_epsg, target_epsg_int, CASE WHEN k % 22 <> 0 THEN lon0 END AS lon, CASE WHEN k % 22 <> 0 THEN lat0 END AS lat FROM ({_in_zone(f"SELECT *, {system} AS epsg FROM ({known})")})"""
+
+
+def _tiles_text(text: str, supplier: str = "supplier") -> str:
+    """Four suppliers in a row are tiles of one plot, rasters and point clouds by turns, in both zones."""
+    number = "CAST(floor(s_suppkey / 4.0e0) AS BIGINT) * 3 + 1"
+    known = f"SELECT s_suppkey AS s, m, {_PLACE.format(k='m')}, CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE 2956 + CAST(floor(s_suppkey / 3.0e0) AS INTEGER) % 2 END AS epsg FROM (SELECT s_suppkey, {number} AS m FROM {supplier})"
+    put = f"SELECT *, round(ue, 3) AS e, round(un, 3) AS n FROM ({_in_zone(known)})"
+    return f"""SELECT 'tiles/d' || CAST(s % 5 AS {text}) || '/VSN ' || lpad(CAST(m AS {text}), 6, '0') || '-' || CAST(s AS {text}) || CASE WHEN s % 2 = 0 THEN '_CHM_1m.tif' ELSE '_LAZ_1m.copc.laz' END AS path,
+    'd' || CAST(s % 5 AS {text}) AS dir, CASE WHEN s % 2 = 0 THEN 'CHM' ELSE 'LAZ' END AS kind, CAST(epsg AS INTEGER) AS epsg,
+    e - 13.0e0 + (s % 5) * 5.0e0 AS xmin, n - 12.0e0 + (s % 3) AS ymin, e + 9.0e0 + (s % 5) * 5.0e0 + (s % 3) * 8.0e0 AS xmax, n + 12.0e0 + (s % 3) AS ymax FROM ({put})"""
+
+
+TILES = f"a_tiles AS MATERIALIZED ({_tiles_text('VARCHAR')})"
+#: Plots of the clip queries.
+PLOTS = f"a_plots AS MATERIALIZED ({_plots_text('VARCHAR')})"
 
 
 def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("s_suppkey")
-    chm = k % 2 == 0
-    name = F.concat(F.lit("tiles/d"), (k % 7).cast("string"), F.lit("/VSN "), F.lpad((k % 60 + 1).cast("string"), 6, "0"), F.lit("-"), k.cast("string"), F.when(chm, "_CHM_1m.tif").otherwise("_LAZ_1m.copc.laz"))
-    x, y = 500000.0 + (k % 60) * 50.0 + (k % 5) * 4.0, 5300000.0 + (k % 60) * 30.0
-    return table(spark, sf_dir, "supplier").select(
-        name.alias("path"), F.concat(F.lit("d"), (k % 7).cast("string")).alias("dir"), F.when(chm, "CHM").otherwise("LAZ").alias("kind"), F.when(k % 7 != 0, 2956 + k % 2).cast("int").alias("epsg"),
-        (x - 10.0).alias("xmin"), (y - 10.0).alias("ymin"), (x + 6.0).alias("xmax"), (y + 12.0).alias("ymax"),
-    )
+    return spark.sql(_tiles_text("STRING", "{supplier}"), supplier=table(spark, sf_dir, "supplier").select("s_suppkey")).repartition("path")
 
 
 def plots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").where(k <= 60).select(
-        F.concat(F.lit("VSN"), F.lpad(k.cast("string"), 6, "0")).alias("plot_id"), (500000.0 + (k - 1) * 50.0).alias("e"), (5300000.0 + (k - 1) * 30.0).alias("n"),
-        F.when(k % 11 == 0, None).when(k % 4 == 0, "EPSG:2957").otherwise("EPSG:2956").alias("target_epsg"), F.when(k % 6 == 0, 2956.0).alias("target_epsg_int"),
-        F.when(k % 22 != 0, -87.0 + k * 0.1).alias("lon"), F.when(k % 22 != 0, 47.0).alias("lat"),
-    )
+    """Dealt by name, as a table of its own would be: filters do not move below the series that place the plots."""
+    return spark.sql(_plots_text("STRING", "{customer}"), customer=table(spark, sf_dir, "customer").select("c_custkey")).repartition("plot_id")
