@@ -163,10 +163,14 @@ TILES = f"a_tiles AS MATERIALIZED ({_tiles_text('VARCHAR')})"
 PLOTS = f"a_plots AS MATERIALIZED ({_plots_text('VARCHAR')})"
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """The same rows; filters on them stay above, as with a table of its own, and do not repeat the series that made them."""
+    return df.select(F.explode(F.array(F.struct("*"))).alias("_s")).select("_s.*")
+
+
 def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(_tiles_text("STRING", "{supplier}"), supplier=table(spark, sf_dir, "supplier").select("s_suppkey")).repartition("path")
+    return _settled(spark.sql(_tiles_text("STRING", "{supplier}"), supplier=table(spark, sf_dir, "supplier").select("s_suppkey")))
 
 
 def plots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dealt by name, as a table of its own would be: filters do not move below the series that place the plots."""
-    return spark.sql(_plots_text("STRING", "{customer}"), customer=table(spark, sf_dir, "customer").select("c_custkey")).repartition("plot_id")
+    return _settled(spark.sql(_plots_text("STRING", "{customer}"), customer=table(spark, sf_dir, "customer").select("c_custkey")))
