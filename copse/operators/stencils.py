@@ -2,14 +2,16 @@
 
 Sliding windows are two passes of window functions, along rows and along
 columns, so a plot's pixels are partitioned by line and never gathered; kernels
-are joins with small coefficient tables.  Rasters are complete rectangles.
+are weighted sums over lines.  Rasters are complete rectangles.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -22,33 +24,6 @@ def line(axis: str, before: int, after: int):
     return Window.partitionBy("plot_id", across).orderBy(axis).rowsBetween(-before, after)
 
 
-def sides(px: DataFrame) -> DataFrame:
-    """Adds h and w, the rows and columns of each plot."""
-    s = px.groupBy("plot_id").agg((F.max("row") + 1).alias("h"), (F.max("col") + 1).alias("w"))
-    return px.join(s, "plot_id")
-
-
-def replicated(px: DataFrame, before: int, after: int) -> DataFrame:
-    """The raster with its edge pixels repeated outwards."""
-    df = sides(px)
-    for axis, size in (("row", "h"), ("col", "w")):
-        at, n = F.col(axis), F.col(size)
-        more = F.concat(F.when(at == 0, F.sequence(F.lit(-before).cast("long"), F.lit(-1).cast("long"))).otherwise(F.array().cast("array<bigint>")) if before else F.array().cast("array<bigint>"), F.array(at.cast("long")), F.when(at == n - 1, F.sequence(n.cast("long"), n + after - 1)).otherwise(F.array().cast("array<bigint>")) if after else F.array().cast("array<bigint>"))
-        df = df.withColumn(axis, F.explode(more))
-    return df
-
-
-def local_moments(px: DataFrame, before: int, after: int, value: str = "z") -> DataFrame:
-    """Adds local mean and population deviation over the square from ``before`` to ``after``, edges replicated."""
-    v = F.col(value)
-    df = replicated(px.withColumns({"_a": v, "_b": v * v}), before, after)
-    for axis in ("col", "row"):
-        w = line(axis, before, after)
-        df = df.withColumns({"_a": F.avg("_a").over(w), "_b": F.avg("_b").over(w)})
-    df = df.where((F.col("row") >= 0) & (F.col("row") < F.col("h")) & (F.col("col") >= 0) & (F.col("col") < F.col("w")))
-    return df.withColumns({"local_mean": F.col("_a"), "local_std": F.sqrt(F.greatest(F.col("_b") - F.col("_a") * F.col("_a"), F.lit(0.0)))}).drop("_a", "_b", "h", "w")
-
-
 def box_extreme(px: DataFrame, value: str, radius: int, largest: bool, out: str) -> DataFrame:
     """Largest or least value in the square of a radius; a border that repeats pixels adds none, so windows just end there."""
     f = F.max if largest else F.min
@@ -91,34 +66,70 @@ def gauss(sigma: float, order: int = 0, truncate: float = 4.0) -> list[tuple[int
     return [(i, b / total * poly(i)) for i, b in zip(range(-r, r + 1), base, strict=True)]
 
 
-def _reflected(at: Column, n: Column) -> Column:
-    """Index of a position outside, mirrored at the edges with the edge pixel repeated."""
-    p = F.pmod(at, 2 * n)
-    return F.when(p < n, p).otherwise(2 * n - 1 - p)
+Taps = list[tuple[int, float]]
+
 
+def weighted(lines: np.ndarray, taps: Taps, mirror: bool = True) -> np.ndarray:
+    """Weighted sums along the rows of a matrix; beyond the borders it is mirrored, edge values repeated, or the edge goes on."""
+    n = lines.shape[1]
+    reach = max(abs(d) for d, _ in taps)
+    at = np.arange(-reach, n + reach)
+    wide = lines[:, np.minimum(at % (2 * n), 2 * n - 1 - at % (2 * n)) if mirror else np.clip(at, 0, n - 1)]
+    out = np.zeros_like(lines)
+    for d, w in taps:
+        out += wide[:, reach + d : reach + d + n] * w
+    return out
 
-def convolved(px: DataFrame, value: str, kernels: dict[str, tuple[list[tuple[int, float]], list[tuple[int, float]]]]) -> DataFrame:
-    """Adds a column per kernel (weights along rows, along columns), borders mirrored.
 
-    Each pass turns a line into an array and evaluates the weighted sums in
-    place; a line is as long as the raster is wide.
+def _along(px: DataFrame, axis: str, sums: dict[str, list[tuple[str, Taps]]], mirror: bool = True) -> DataFrame:
+    """Adds a column for each sum of weighted neighbours along one axis; a line of pixels is a value of its own in a batch."""
+    across = "row" if axis == "col" else "col"
+    used = sorted({v for terms in sums.values() for v, _ in terms})
+    carried = [c for c in px.columns if c not in ("plot_id", across)]
+    lines = px.groupBy("plot_id", across).agg(F.array_sort(F.collect_list(F.struct(axis, *[c for c in carried if c != axis]))).alias("p"))
+
+    def run(*columns: pd.Series) -> pd.DataFrame:
+        sizes = columns[0].map(len).to_numpy()
+        out = {name: np.empty(len(sizes), object) for name in sums}
+        for n in np.unique(sizes):
+            own = np.flatnonzero(sizes == n)
+            given = {v: np.stack(columns[i].iloc[own].to_numpy()).astype(np.float64) for i, v in enumerate(used)}
+            for name, terms in sums.items():
+                made = sum(weighted(given[v], taps, mirror) for v, taps in terms)
+                for k, row in zip(own, made, strict=True):
+                    out[name][k] = row
+        return pd.DataFrame(out)
+
+    kernel = F.pandas_udf(run, ", ".join(f"{name} array<double>" for name in sums))
+    made = lines.select("plot_id", across, "p", kernel(*[F.col("p")[v] for v in used]).alias("m"))
+    cells = made.select("plot_id", across, F.explode(F.arrays_zip(F.col("p").alias("p"), *[F.col(f"m.{name}").alias(name) for name in sums])).alias("c"))
+    return cells.select("plot_id", across, *[F.col(f"c.p.{v}").alias(v) for v in carried], *[F.col(f"c.{name}").alias(name) for name in sums])
+
+
+def convolved(px: DataFrame, value: str, kernels: dict[str, list[tuple[Taps, Taps]]]) -> DataFrame:
+    """Adds a column for each kernel: a sum of products of weights along rows and along columns; borders mirrored.
+
+    Lines of pixels go to NumPy in Arrow batches, once for each axis and all
+    kernels; memory is in proportion to a line, not to the raster.
     """
-    df = sides(px)
-    for axis, size, k in (("row", "h", 0), ("col", "w", 1)):
-        across = "col" if axis == "row" else "row"
-        keep = [c for c in df.columns if c not in (axis,)]
-        values = [value] if k == 0 else [f"_{name}" for name in kernels]
-        lines = df.groupBy("plot_id", across).agg(F.array_sort(F.collect_list(F.struct(axis, *[c for c in keep if c not in ("plot_id", across)]))).alias("px"))
-
-        def at(i: Column, v: str, taps: list[tuple[int, float]]) -> Column:
-            n = F.size("px").cast("long")
-            out = F.lit(0.0)
-            for d, w in taps:
-                out = out + F.get("px", _reflected(i + d, n).cast("int"))[v] * w
-            return out
-
-        cells = lines.select("plot_id", across, "px", F.posexplode("px").alias("_i", "_p"))
-        made = {f"_{name}": at(F.col("_i").cast("long"), values[0] if k == 0 else f"_{name}", taps[k]) for name, taps in kernels.items()}
-        rest = [F.col(f"_p.{c}").alias(c) for c in [axis, *[c for c in keep if c not in ("plot_id", across) and not (k == 1 and c in made)]]]
-        df = cells.select("plot_id", across, *rest, *[v.alias(c) for c, v in made.items()])
-    return df.select(*[c for c in px.columns], *[F.col(f"_{name}").alias(name) for name in kernels])
+    first: dict[tuple, str] = {}
+    for terms in kernels.values():
+        for down, _ in terms:
+            first.setdefault(tuple(down), f"_s{len(first)}")
+    df = _along(px, "row", {name: [(value, list(taps))] for taps, name in first.items()})
+    df = _along(df, "col", {name: [(first[tuple(down)], right) for down, right in terms] for name, terms in kernels.items()})
+    return df.select(*px.columns, *kernels)
+
+
+def local_moments(px: DataFrame, windows: dict[str, tuple[int, int]], value: str = "z") -> DataFrame:
+    """Adds ``{name}_mean`` and ``{name}_std`` (population) over the square from ``before`` to ``after`` of each window; the edge goes on outside."""
+    v = F.col(value)
+    df = px.withColumns({"_a": v, "_b": v * v})
+    box = {name: [(d, 1.0 / (before + after + 1)) for d in range(-before, after + 1)] for name, (before, after) in windows.items()}
+    df = _along(df, "row", {f"_{m}_{name}": [(f"_{m}", taps)] for name, taps in box.items() for m in "ab"}, False)
+    df = _along(df, "col", {f"_{m}{m}_{name}": [(f"_{m}_{name}", taps)] for name, taps in box.items() for m in "ab"}, False)
+    made = []
+    for name in windows:
+        mean, square = F.col(f"_aa_{name}"), F.col(f"_bb_{name}")
+        made += [mean.alias(f"{name}_mean"), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias(f"{name}_std")]
+    return df.select(*px.columns, *made)

@@ -6,12 +6,13 @@ import heapq
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import stencils
-from .components import label, rasters
+from . import canopy, masks, stencils
+from .components import PLOT_PIXELS, label, plotwise, rasters
 
 # Detector parameters.
 SIGMAS_M = (0.6, 0.9, 1.3, 1.8, 2.6, 3.2)
@@ -19,23 +20,25 @@ PCTL_SMALL, PCTL_LARGE, SMALL_M = 93.0, 96.0, 1.0
 SUPPORT, RELAX = 5000, 2.0
 MIN_H, LHD_MIN, BLOB_MIN, NMS_K = 4.0, 0.9, 0.50, 2.2
 COMPACTNESS, MIN_AREA = 8.0, 2.0
+PLATEAU, LHD_PLATEAU = 30, 0.8
+PIT_RADIUS_M, PIT_DEPTH_M = 1.2, 0.8
 
 
 def local_height(px: DataFrame, pixel: float, radius: float = 5.0) -> DataFrame:
     """Adds ``lhd``: height over a Gaussian background."""
     k = stencils.gauss(max(radius / pixel / 2.355, 0.2))
-    return stencils.convolved(px, "z", {"_bg": (k, k)}).withColumn("lhd", F.col("z") - F.col("_bg")).drop("_bg")
+    return stencils.convolved(px, "z", {"_bg": [(k, k)]}).withColumn("lhd", F.col("z") - F.col("_bg")).drop("_bg")
 
 
 def log_responses(px: DataFrame, pixel: float, sigmas: tuple[float, ...] = SIGMAS_M) -> DataFrame:
     """Adds array ``resp``: scale-normalised negative Laplacian of Gaussian at each scale."""
     kernels = {}
     for i, s in enumerate(sigmas):
-        g, d = stencils.gauss(max(s / pixel, 0.5)), stencils.gauss(max(s / pixel, 0.5), 2)
-        kernels |= {f"r{i}": (d, g), f"c{i}": (g, d)}
+        width = max(s / pixel, 0.5)
+        g, d = stencils.gauss(width), [(at, -(width**2) * w) for at, w in stencils.gauss(width, 2)]
+        kernels[f"r{i}"] = [(d, g), (g, d)]
     df = stencils.convolved(px, "z", kernels)
-    scale = [max(s / pixel, 0.5) ** 2 for s in sigmas]
-    return df.select(*px.columns, F.array(*[-(F.col(f"r{i}") + F.col(f"c{i}")) * w for i, w in enumerate(scale)]).alias("resp"))
+    return df.select(*px.columns, F.array(*kernels).alias("resp"))
 
 
 def best_scale() -> Column:
@@ -59,20 +62,24 @@ def hessian(px: DataFrame, pixel: float, sigma: float) -> DataFrame:
     """Adds eigenvalues ``lam1`` >= ``lam2`` of the smoothed Hessian and ``blobness`` where both are negative."""
     s = max(sigma / pixel, 0.8)
     g, d1, d2 = stencils.gauss(s), stencils.gauss(s, 1), stencils.gauss(s, 2)
-    df = stencils.convolved(px, "z", {"ixx": (d2, g), "iyy": (g, d2), "ixy": (d1, d1)})
-    trace, det = F.col("ixx") + F.col("iyy"), F.col("ixx") * F.col("iyy") - F.col("ixy") * F.col("ixy")
+    df = stencils.convolved(px, "z", {"ixx": [(d2, g)], "iyy": [(g, d2)], "ixy": [(d1, d1)]})
+    return df.withColumns(dict(zip(("lam1", "lam2", "blobness"), blobness(F.col("ixx"), F.col("iyy"), F.col("ixy")), strict=True))).drop("ixx", "iyy", "ixy")
+
+
+def blobness(ixx: Column, iyy: Column, ixy: Column) -> tuple[Column, Column, Column]:
+    """Eigenvalues of a Hessian, the larger first, and the ratio of their sizes where both are negative."""
+    trace, det = ixx + iyy, ixx * iyy - ixy * ixy
     root = F.sqrt(F.greatest(trace * trace - 4.0 * det, F.lit(0.0)))
-    df = df.withColumns({"lam1": 0.5 * (trace + root), "lam2": 0.5 * (trace - root)})
-    a, b = F.abs("lam1"), F.abs("lam2")
-    return df.withColumn("blobness", F.when((F.col("lam1") < 0) & (F.col("lam2") < 0), F.least(a, b) / (F.greatest(a, b) + 1e-6))).drop("ixx", "iyy", "ixy")
+    one, two = 0.5 * (trace + root), 0.5 * (trace - root)
+    return one, two, F.when((one < 0) & (two < 0), F.least(F.abs(one), F.abs(two)) / (F.greatest(F.abs(one), F.abs(two)) + 1e-6))
 
 
 def slope(px: DataFrame) -> DataFrame:
     """Adds ``slope``: Sobel magnitude of the raster smoothed by one pixel."""
     g = stencils.gauss(1.0)
-    df = stencils.convolved(px, "z", {"_s": (g, g)})
+    df = stencils.convolved(px, "z", {"_s": [(g, g)]})
     smooth, edge = [(-1, 0.25), (0, 0.5), (1, 0.25)], [(-1, -0.5), (0, 0.0), (1, 0.5)]
-    df = stencils.convolved(df, "_s", {"_y": (edge, smooth), "_x": (smooth, edge)})
+    df = stencils.convolved(df, "_s", {"_y": [(edge, smooth)], "_x": [(smooth, edge)]})
     return df.withColumn("slope", F.sqrt((F.col("_x") * F.col("_x") + F.col("_y") * F.col("_y")) / 2)).drop("_s", "_x", "_y")
 
 
@@ -90,11 +97,21 @@ def suppressed(candidates: DataFrame, factor: float = 1.0) -> DataFrame:
     return lists.select("plot_id", F.explode(kept).alias("k")).select("plot_id", "k.tree_id", "k.row", "k.col", (-F.col("k.s")).alias("score"), "k.r")
 
 
-def nearest(tops: DataFrame, pixel: float) -> DataFrame:
-    """``(plot_id, tree_id, nnd)``: distance to the nearest other tree of the plot."""
-    o = tops.select("plot_id", F.col("tree_id").alias("o"), F.col("row").alias("r2"), F.col("col").alias("c2"))
-    d = F.sqrt((F.col("row") - F.col("r2")) * (F.col("row") - F.col("r2")) + (F.col("col") - F.col("c2")) * (F.col("col") - F.col("c2"))) * pixel
-    return tops.join(o, "plot_id").where(F.col("tree_id") != F.col("o")).groupBy("plot_id", "tree_id").agg(F.min(d).alias("nnd"))
+def nearest(tops: DataFrame, pixel: float, cell: int = 8) -> DataFrame:
+    """``(plot_id, tree_id, nnd)``: distance to the nearest other tree of the plot.
+
+    Trees are compared with those of the 3 x 3 cells around; one that finds none
+    as near as a cell is wide there is compared with all of its plot.
+    """
+    d = F.sqrt((F.col("row") - F.col("r2")) * (F.col("row") - F.col("r2")) + (F.col("col") - F.col("c2")) * (F.col("col") - F.col("c2")))
+    at = tops.select("plot_id", "tree_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"))
+    o = at.select("plot_id", F.col("tree_id").alias("o"), F.col("row").alias("r2"), F.col("col").alias("c2"))
+    around = F.explode(F.array(*[F.struct((F.floor(F.col("row") / cell) + a).alias("y"), (F.floor(F.col("col") / cell) + b).alias("x")) for a in (-1, 0, 1) for b in (-1, 0, 1)])).alias("_c")
+    near = at.select("*", around).select("plot_id", "tree_id", "row", "col", F.col("_c.y").alias("y"), F.col("_c.x").alias("x"))
+    near = near.join(o.withColumns({"y": F.floor(F.col("r2") / cell), "x": F.floor(F.col("c2") / cell)}), ["plot_id", "y", "x"])
+    found = near.where(F.col("tree_id") != F.col("o")).groupBy("plot_id", "tree_id").agg(F.min(d).alias("nnd")).where(F.col("nnd") <= cell)
+    rest = at.join(found, ["plot_id", "tree_id"], "left_anti").join(o, "plot_id").where(F.col("tree_id") != F.col("o")).groupBy("plot_id", "tree_id").agg(F.min(d).alias("nnd"))
+    return found.unionByName(rest).withColumn("nnd", F.col("nnd") * pixel)
 
 
 def spacing(tops: DataFrame, pixel: float) -> DataFrame:
@@ -107,21 +124,28 @@ def rmax(h: Column) -> Column:
     return F.least(F.greatest(0.8 + 0.25 * h, F.lit(1.2)), F.lit(5.0))
 
 
-def crowns(labels: DataFrame, tops: DataFrame, pixel: float, side: int = 40, least: float = MIN_AREA) -> DataFrame:
-    """Crown records of labelled pixels (plot_id, row, col, z, tree_id) and treetops with height ``h``; small crowns drop out."""
-    edge = (F.col("row") == 0) | (F.col("col") == 0) | (F.col("row") == side - 1) | (F.col("col") == side - 1)
+def crowns(labels: DataFrame, tops: DataFrame, pixel: float, least: float = MIN_AREA) -> DataFrame:
+    """Crown records of labelled pixels (plot_id, row, col, z, tree_id, and the raster's height and width) and treetops with height ``h``; small crowns drop out."""
+    edge = (F.col("row") == 0) | (F.col("col") == 0) | (F.col("row") == F.col("height") - 1) | (F.col("col") == F.col("width") - 1)
     c = labels.groupBy("plot_id", "tree_id").agg((F.count("*") * (pixel * pixel)).alias("area_m2"), F.avg("z").alias("mean_h"), F.max("z").alias("max_h"), F.max(edge.cast("int")).alias("edge_flag")).where(F.col("area_m2") >= least)
     c = c.join(tops.select("plot_id", "tree_id", F.col("h").alias("peak_h")), ["plot_id", "tree_id"])
     r = F.sqrt(F.col("area_m2") / F.pi())
     return c.withColumns({"radius_eq_m": r, "r_max_m": rmax(F.col("peak_h"))}).withColumn("oversize", (F.col("radius_eq_m") > 1.15 * F.col("r_max_m")).cast("int"))
 
 
-def plot_metrics(tops: DataFrame, crown: DataFrame, pixel: float, pixels: int) -> DataFrame:
-    """The slim plot table: treetops are counted, all else is of the crowns that stay."""
+def pix_to_xy(transform: tuple[float, float, float, float, float, float], row: str = "row", col: str = "col") -> tuple[Column, Column]:
+    """Position of a pixel's corner: x = c + col a + row b, y = f + col d + row e."""
+    a, b, c, d, e, f = transform
+    return (F.col(col) * a + F.col(row) * b + c), (F.col(col) * d + F.col(row) * e + f)
+
+
+def plot_metrics(tops: DataFrame, crown: DataFrame, pixel: float, plots: DataFrame) -> DataFrame:
+    """The slim table, a row for each of ``plots`` (plot_id, pixels): treetops are counted, all else is of the crowns that stay."""
     n = tops.groupBy("plot_id").agg(F.count("*").alias("n_trees"))
     cv = F.when(F.count("*") > 1, F.stddev_samp("radius_eq_m") / F.greatest(F.avg("radius_eq_m"), F.lit(1e-6))).otherwise(0.0)
-    c = crown.groupBy("plot_id").agg((F.sum("area_m2") / (pixels * pixel * pixel)).alias("cover_ratio"), F.avg("radius_eq_m").alias("mean_radius_m"), cv.alias("cv_radius"), F.avg("oversize").alias("pct_oversize"), F.avg("edge_flag").alias("pct_edge_trees"), F.avg("peak_h").alias("mean_peak_h"))
-    return n.join(spacing(tops, pixel), "plot_id").join(c, "plot_id", "left")
+    c = crown.groupBy("plot_id").agg(F.sum("area_m2").alias("_area"), F.avg("radius_eq_m").alias("mean_radius_m"), cv.alias("cv_radius"), F.avg("oversize").alias("pct_oversize"), F.avg("edge_flag").alias("pct_edge_trees"), F.avg("peak_h").alias("mean_peak_h"))
+    df = plots.join(n, "plot_id", "left").join(spacing(tops, pixel), "plot_id", "left").join(c, "plot_id", "left")
+    return df.select("plot_id", F.coalesce("n_trees", F.lit(0)).alias("n_trees"), "mean_nnd_m", "cv_nnd", (F.col("_area") / (F.col("pixels") * (pixel * pixel))).alias("cover_ratio"), "mean_radius_m", "cv_radius", "pct_oversize", "pct_edge_trees", "mean_peak_h")
 
 
 def watershed(image: np.ndarray, tops: list[tuple[int, int]], mask: np.ndarray, compactness: float) -> np.ndarray:
@@ -159,55 +183,111 @@ def peaks(resp: np.ndarray, threshold: float, distance: int) -> list[tuple[int,
     return kept
 
 
+def collapsed(found: list[tuple[int, int]], pick: np.ndarray) -> list[tuple[int, int, int]]:
+    """Of touching peaks the one with the largest ``pick``, the first in raster order among equals, and how many they are."""
+    m = np.zeros(pick.shape, bool)
+    for r, c in found:
+        m[r, c] = True
+    lab = label(m)
+    size = np.bincount(lab.ravel())
+    best: dict[int, tuple[int, int]] = {}
+    for r, c in sorted(found, key=lambda p: (-pick[p], p)):
+        best.setdefault(int(lab[r, c]), (r, c))
+    return [(r, c, int(size[k])) for k, (r, c) in best.items()]
+
+
 def local_maxima(px: DataFrame, value: str, threshold: float, distance: int) -> DataFrame:
     """``(plot_id, row, col)`` of the peaks of each plot, collapsed over touching ones."""
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         (a,) = rasters(frame, "v")
-        found = peaks(a, threshold, distance)
-        m = np.zeros(a.shape, bool)
-        for r, c in found:
-            m[r, c] = True
-        lab = label(m)
-        best: dict[int, tuple[int, int]] = {}
-        for r, c in sorted(found, key=lambda p: (-a[p], p)):
-            best.setdefault(int(lab[r, c]), (r, c))
-        return pd.DataFrame([(key[0], r, c) for r, c in best.values()], columns=["plot_id", "row", "col"])
+        return pd.DataFrame([(key[0], r, c) for r, c, _ in collapsed(peaks(a, threshold, distance), a)], columns=["plot_id", "row", "col"])
 
-    return px.selectExpr("plot_id", "row", "col", f"{value} AS v").groupBy("plot_id").applyInPandas(run, "plot_id long, row long, col long")
+    return plotwise(px.selectExpr("plot_id", "row", "col", f"{value} AS v"), run, "plot_id long, row long, col long")
 
 
 def watershed_labels(px: DataFrame, tops: DataFrame, compactness: float = COMPACTNESS) -> DataFrame:
-    """``(plot_id, row, col, z, tree_id)``: pixels (z, slope, mask) grown from treetops (plot_id, row, col, tree_id); a plot is one task's unit."""
-    t = tops.groupBy("plot_id").agg(F.array_sort(F.collect_list(F.struct("tree_id", F.col("row").cast("long").alias("r"), F.col("col").cast("long").alias("c")))).alias("tops"))
-    both = px.join(t, "plot_id").selectExpr("plot_id", "row", "col", "z", "slope", "CAST(mask AS DOUBLE) AS m", "tops")
+    """``(plot_id, row, col, z, tree_id, height, width)``: pixels (z, slope, mask) grown from treetops (plot_id, row, col, tree_id).
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    A plot and its treetops are one task's unit (see :func:`components.plotwise`); plots without treetops have no labels.
+    """
+    names = ["plot_id", "row", "col", "z", "tree_id", "height", "width"]
+
+    def run(key: tuple, frame: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(frame) or not len(own):
+            return pd.DataFrame([], columns=names)
+        if len(frame) > PLOT_PIXELS:
+            raise ValueError(f"plot {key[0]} has {len(frame)} pixels, more than {PLOT_PIXELS}; clip it first")
         z, s, m = rasters(frame, "z", "slope", "m")
-        own = list(frame["tops"].iloc[0])
-        lab = watershed(s, [(int(x["r"]), int(x["c"])) for x in own], m > 0, compactness)
+        own = own.sort_values("tree_id")
+        lab = watershed(s, list(zip(own["row"].tolist(), own["col"].tolist(), strict=True)), m > 0, compactness)
         r, c = np.nonzero(lab)
-        ids = np.array([int(x["tree_id"]) for x in own])
-        return pd.DataFrame({"plot_id": key[0], "row": r, "col": c, "z": z[r, c], "tree_id": ids[lab[r, c] - 1]})
-
-    return both.groupBy("plot_id").applyInPandas(run, "plot_id long, row long, col long, z double, tree_id long")
-
-
-def detect(px: DataFrame, pixel: float, sigmas: tuple[float, ...] = SIGMAS_M) -> DataFrame:
-    """Treetops of plots (z, mask): peaks of each scale's response that pass height, local height, best scale and blob tests, then suppression."""
-    df = local_height(px, pixel)
-    resp = log_responses(df, pixel, sigmas)
-    limits = scale_thresholds(resp, sigmas=sigmas)
-    found = None
+        ids = own["tree_id"].to_numpy()
+        return pd.DataFrame({"plot_id": key[0], "row": r, "col": c, "z": z[r, c], "tree_id": ids[lab[r, c] - 1], "height": lab.shape[0], "width": lab.shape[1]})
+
+    a = px.selectExpr("plot_id", "row", "col", "z", "slope", "CAST(mask AS DOUBLE) AS m").groupBy("plot_id")
+    b = tops.selectExpr("plot_id", "CAST(row AS BIGINT) AS row", "CAST(col AS BIGINT) AS col", "tree_id").groupBy("plot_id")
+    return a.cogroup(b).applyInPandas(run, "plot_id long, row long, col long, z double, tree_id long, height long, width long")
+
+
+def detect(px: DataFrame, pixel: float, sigmas: tuple[float, ...] = SIGMAS_M, equalise: bool = True) -> DataFrame:
+    """Treetops (plot_id, tree_id, row, col, h, sigma_m, score) of plots (z, mask).
+
+    The raster is equalised under the mask first.  All filters of all scales run
+    in one pass over lines; peaks of each scale's response above its threshold
+    must be tall, stand out (plateaus of PLATEAU pixels less so), have their
+    largest response at that scale and be blobs; then they are suppressed twice.
+    Numbers go by descending score.
+    """
+    if equalise:
+        px = masks.equalised(px)
+    background = stencils.gauss(max(5.0 / pixel / 2.355, 0.2))
+    kernels = {"_bg": [(background, background)]}
     for i, s in enumerate(sigmas):
-        own = resp.join(limits.where(F.col("scale") == i).select("plot_id", "threshold"), "plot_id")
-        own = own.withColumn("v", F.when(F.col("mask") & (F.get("resp", F.lit(i)) >= F.col("threshold")), F.get("resp", F.lit(i))).otherwise(0.0))
-        top = local_maxima(own, "v", 0.0, max(int(1.6 * (s / pixel)), 1))
-        blob = hessian(own, pixel, s).join(top, ["plot_id", "row", "col"])
-        good = blob.where((F.col("z") >= MIN_H) & (F.col("lhd") >= LHD_MIN) & (best_scale() == i) & (F.col("blobness") >= BLOB_MIN))
-        part = good.select("plot_id", "row", "col", F.lit(s).alias("sigma_m"), F.col("z").alias("h"), F.get("resp", F.lit(i)).alias("score"))
-        found = part if found is None else found.unionByName(part)
+        width, broad = max(s / pixel, 0.5), max(s / pixel, 0.8)
+        g, d = stencils.gauss(width), [(at, -(width**2) * w) for at, w in stencils.gauss(width, 2)]
+        g0, g1, g2 = (stencils.gauss(broad, k) for k in range(3))
+        kernels |= {f"_r{i}": [(d, g), (g, d)], f"_xx{i}": [(g2, g0)], f"_yy{i}": [(g0, g2)], f"_xy{i}": [(g1, g1)]}
+    df = stencils.convolved(px.select("plot_id", "row", "col", "z", "mask"), "z", kernels)
+    blobs = [blobness(F.col(f"_xx{i}"), F.col(f"_yy{i}"), F.col(f"_xy{i}"))[2] for i in range(len(sigmas))]
+    df = df.select("plot_id", "row", "col", "z", "mask", (F.col("z") - F.col("_bg")).alias("lhd"), F.array(*[f"_r{i}" for i in range(len(sigmas))]).alias("resp"), F.array(*blobs).alias("blob"))
+    df = df.persist(StorageLevel.DISK_ONLY)  # read three times below; it lives until the session or the caller ends it
+    limits = scale_thresholds(df, sigmas=sigmas).where("threshold > 0").groupBy("plot_id").agg(F.map_from_entries(F.collect_list(F.struct("scale", "threshold"))).alias("limits"))
+    over = [F.when(F.col("mask") & (F.get("resp", F.lit(i)) > F.try_element_at("limits", F.lit(i))), F.get("resp", F.lit(i))).otherwise(0.0).alias(f"v{i}") for i in range(len(sigmas))]
+    names = ["plot_id", "row", "col", "scale", "plateau"]
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        lhd, *resp = rasters(frame, "lhd", *[f"v{i}" for i in range(len(sigmas))])
+        out = []
+        for i, s in enumerate(sigmas):
+            out += [(key[0], r, c, i, n) for r, c, n in collapsed(peaks(resp[i], 0.0, max(int(1.6 * (s / pixel)), 1)), lhd)]
+        return pd.DataFrame(out, columns=names)
+
+    tops = plotwise(df.join(limits, "plot_id").select("plot_id", "row", "col", "lhd", *over), run, "plot_id long, row long, col long, scale int, plateau int")
+    c = df.join(tops, stencils.KEY)
+    stands = F.col("lhd") >= F.when(F.col("plateau") >= PLATEAU, LHD_PLATEAU).otherwise(LHD_MIN)
+    c = c.where((F.col("z") >= MIN_H) & stands & (best_scale() == F.col("scale")) & (F.get("blob", F.col("scale")) >= BLOB_MIN))
+    c = c.select("plot_id", "row", "col", F.get(F.array(*[F.lit(float(s)) for s in sigmas]), F.col("scale")).alias("sigma_m"), F.col("z").alias("h"), F.get("resp", F.col("scale")).alias("score"))
     order = Window.partitionBy("plot_id").orderBy(F.desc("score"), "row", "col", "sigma_m")
-    c = found.withColumn("tree_id", F.row_number().over(order).cast("long")).withColumn("r", F.col("sigma_m") * (NMS_K / pixel))
+    c = c.withColumn("tree_id", F.row_number().over(order).cast("long")).withColumn("r", F.col("sigma_m") * (NMS_K / pixel))
     kept = suppressed(suppressed(c).select("plot_id", "row", "col", "r", "score", "tree_id"), 0.8)
-    return c.drop("r").join(kept.select("plot_id", "tree_id"), ["plot_id", "tree_id"])
+    kept = c.drop("r", "tree_id").join(kept.select("plot_id", "row", "col"), ["plot_id", "row", "col"])
+    return kept.withColumn("tree_id", F.row_number().over(order).cast("long"))
+
+
+def delineate(px: DataFrame, pixel: float) -> dict[str, DataFrame]:
+    """All of a batch of plots (plot_id, row, col, z): ``tops``, ``labels``, ``crowns`` (the tree table) and ``features``, one row a plot.
+
+    Pits are filled, the three masks meet, treetops are found and crowns grown
+    on the slope; labels of crowns that are too small are dropped.  A plot
+    without treetops has 0 trees and null metrics.
+    """
+    px = px.select("plot_id", "row", "col", canopy.non_negative(F.col("z").cast("double")).alias("z"))
+    px = stencils.fill_pits(px, max(1, round(PIT_RADIUS_M / pixel)), PIT_DEPTH_M).select("plot_id", "row", "col", F.col("filled").alias("z"))
+    px = masks.mask_intersection(px, pixel).select("plot_id", "row", "col", "z", "mask").persist(StorageLevel.DISK_ONLY)
+    tops = detect(px, pixel).persist(StorageLevel.DISK_ONLY)
+    labels = watershed_labels(slope(px), tops)
+    table = crowns(labels, tops, pixel).join(tops.drop("h"), ["plot_id", "tree_id"])
+    labels = labels.join(table.select("plot_id", "tree_id"), ["plot_id", "tree_id"], "left_semi")
+    sizes = px.groupBy("plot_id").agg(F.count("*").alias("pixels"))
+    return {"tops": tops, "labels": labels, "crowns": table, "features": plot_metrics(tops, table, pixel, sizes)}

@@ -80,6 +80,19 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.select("plot_id", "row", "col", z.alias("z"), ((r * 7 + c * 11 + p) % 53 == 0).alias("nodata"))
 
 
+#: Pixels above a height with the nearest tree of their plot, the first among equals: labelled crowns.
+LABELS = """a_labels AS (SELECT p.plot_id, p."row", p.col, p.z, t.tree_id FROM a_pixels p JOIN a_trees t USING (plot_id) WHERE p.z > 3.5e0
+  QUALIFY row_number() OVER (PARTITION BY p.plot_id, p."row", p.col ORDER BY (p."row" - t."row") * (p."row" - t."row") + (p.col - t.col) * (p.col - t.col), t.tree_id) = 1)"""
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, c = F.col("row"), F.col("col")
+    t = trees(spark, sf_dir).groupBy("plot_id").agg(F.collect_list(F.struct("row", "col", "tree_id")).alias("tops"))  # 12 trees a plot at most
+    near = F.array_min(F.transform("tops", lambda x: F.struct(((r - x.row) * (r - x.row) + (c - x.col) * (c - x.col)).alias("d"), x.tree_id.alias("tree_id"))))
+    px = pixels(spark, sf_dir).where("z > 3.5").join(t, "plot_id")
+    return px.select("plot_id", "row", "col", "z", near.tree_id.alias("tree_id"), F.lit(40).cast("long").alias("height"), F.lit(40).cast("long").alias("width"))
+
+
 # -- scores and features -----------------------------------------------------------------------
 
 SCORES = """a_scores AS (

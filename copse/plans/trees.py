@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import masks
 from ..operators import stencils as st
 from ..operators import trees as op
 from . import adapters
-from .adapters import PIXELS, TREES
+from .adapters import LABELS, PIXELS, TREES
 from .points import rounded
 from .registry import query
 
@@ -22,9 +23,9 @@ def _reflect(x: str) -> str:
     return f"CASE WHEN ({x} + 80) % 80 < 40 THEN ({x} + 80) % 80 ELSE 79 - ({x} + 80) % 80 END"
 
 
-def _conv(name: str, rows: list, cols: list) -> str:
+def _conv(name: str, rows: list, cols: list, of: str = "a_pixels", value: str = "z") -> str:
     v = lambda taps: "(VALUES " + ", ".join(f"({d}, {w!r}::DOUBLE)" for d, w in taps) + ") k(d, w)"
-    return f"""{name}1 AS (SELECT a.plot_id, a."row", a.col, sum(b.z * w) AS z FROM a_pixels a CROSS JOIN {v(rows)} JOIN a_pixels b ON b.plot_id = a.plot_id AND b.col = a.col AND b."row" = {_reflect('(a."row" + d)')} GROUP BY ALL),
+    return f"""{name}1 AS (SELECT a.plot_id, a."row", a.col, sum(b.{value} * w) AS z FROM a_pixels a CROSS JOIN {v(rows)} JOIN {of} b ON b.plot_id = a.plot_id AND b.col = a.col AND b."row" = {_reflect('(a."row" + d)')} GROUP BY ALL),
 {name} AS (SELECT a.plot_id, a."row", a.col, sum(b.z * w) AS v FROM {name}1 a CROSS JOIN {v(cols)} JOIN {name}1 b ON b.plot_id = a.plot_id AND b."row" = a."row" AND b.col = {_reflect("(a.col + d)")} GROUP BY ALL)"""
 
 
@@ -36,16 +37,20 @@ def lhd_map(spark, sf_dir):
     return rounded(op.local_height(_raw(spark, sf_dir), PX).select("plot_id", "row", "col", "lhd"))
 
 
-_G, _D = st.gauss(1.3 / PX), st.gauss(1.3 / PX, 2)
+_S = range(len(op.SIGMAS_M))
+_WIDTHS = [max(s / PX, 0.5) for s in op.SIGMAS_M]
+_LOG = ", ".join(f"{_conv(f'r{i}_', st.gauss(w, 2), st.gauss(w))}, {_conv(f'c{i}_', st.gauss(w), st.gauss(w, 2))}" for i, w in enumerate(_WIDTHS))
+_USING = 'USING (plot_id, "row", col)'
+_RESP = f"""{_LOG}, rs AS MATERIALIZED (SELECT plot_id, "row", col, {", ".join(f"-(r{i}_.v + c{i}_.v) * {w**2!r}::DOUBLE AS r{i}" for i, w in enumerate(_WIDTHS))} FROM r0_ JOIN c0_ {_USING} {" ".join(f"JOIN r{i}_ {_USING} JOIN c{i}_ {_USING}" for i in _S[1:])})"""
 
 
-@query("log_response", f'WITH {PIXELS}, {_conv("lr", _D, _G)}, {_conv("lc", _G, _D)} SELECT lr.plot_id, lr."row", lr.col, round(-(lr.v + lc.v) * {(1.3 / PX) ** 2!r}::DOUBLE, 6) + 0.0e0 AS resp FROM lr JOIN lc USING (plot_id, "row", col)')
+@query("log_response", f'WITH {PIXELS}, {_RESP} SELECT plot_id, "row", col, {", ".join(f"round(r{i}, 6) + 0.0e0 AS r{i}" for i in _S)} FROM rs')
 def log_response(spark, sf_dir):
-    r = op.log_responses(_raw(spark, sf_dir), PX, (1.3,))
-    return rounded(r.select("plot_id", "row", "col", F.get("resp", F.lit(0)).alias("resp")))
+    r = op.log_responses(_raw(spark, sf_dir), PX)
+    return rounded(r.select("plot_id", "row", "col", *[F.get("resp", F.lit(i)).alias(f"r{i}") for i in _S]))
 
 
-@query("scale_argmax")
+@query("scale_argmax", f'WITH {PIXELS}, {_RESP} SELECT plot_id, "row", col, CAST(list_position([{", ".join(f"r{i}" for i in _S)}], greatest({", ".join(f"r{i}" for i in _S)})) - 1 AS INTEGER) AS scale FROM rs')
 def scale_argmax(spark, sf_dir):
     return op.log_responses(_raw(spark, sf_dir), PX).select("plot_id", "row", "col", op.best_scale().alias("scale"))
 
@@ -54,17 +59,37 @@ def _masked(spark, sf_dir):
     return _raw(spark, sf_dir).withColumn("mask", F.col("z") > 3.5)
 
 
-@query("scale_threshold")
+def _threshold(i: int, s: float) -> str:
+    p = op.PCTL_SMALL if s <= op.SMALL_M else op.PCTL_LARGE
+    r = f"r{i}"
+    return f"SELECT plot_id, {i} AS scale, round(CASE WHEN count(*) >= {op.SUPPORT} THEN quantile_cont({r}, {p / 100!r}) ELSE quantile_cont({r}, {(p - op.RELAX) / 100!r}) END, 6) AS threshold FROM rs JOIN a_pixels p {_USING} WHERE p.z > 3.5e0 AND {r} > 0 GROUP BY plot_id"
+
+
+@query("scale_threshold", f"WITH {PIXELS}, {_RESP} " + " UNION ALL ".join(_threshold(i, s) for i, s in enumerate(op.SIGMAS_M)))
 def scale_threshold(spark, sf_dir):
     return rounded(op.scale_thresholds(op.log_responses(_masked(spark, sf_dir), PX)))
 
 
-@query("hessian_blobness")
+def _hessian(i: int, s: float) -> str:
+    g, d1, d2 = (st.gauss(max(s / PX, 0.8), k) for k in range(3))
+    return f"{_conv(f'x{i}_', d2, g)}, {_conv(f'y{i}_', g, d2)}, {_conv(f'm{i}_', d1, d1)}, h{i} AS (SELECT plot_id, \"row\", col, x.v + y.v AS t, sqrt(greatest((x.v + y.v) * (x.v + y.v) - 4 * (x.v * y.v - m.v * m.v), 0)) AS q FROM x{i}_ x JOIN y{i}_ y {_USING} JOIN m{i}_ m {_USING})"
+
+
+_BLOB = ", ".join(f"round(CASE WHEN h{i}.t + h{i}.q < 0 AND h{i}.t - h{i}.q < 0 THEN least(abs(h{i}.t + h{i}.q), abs(h{i}.t - h{i}.q)) / (greatest(abs(h{i}.t + h{i}.q), abs(h{i}.t - h{i}.q)) + 2e-6) END, 6) AS b{i}" for i in _S)
+
+
+@query("hessian_blobness", f'WITH {PIXELS}, {", ".join(_hessian(i, s) for i, s in enumerate(op.SIGMAS_M))} SELECT plot_id, "row", col, {_BLOB} FROM h0 {" ".join(f"JOIN h{i} {_USING}" for i in _S[1:])}')
 def hessian_blobness(spark, sf_dir):
-    return rounded(op.hessian(_raw(spark, sf_dir), PX, 1.8).select("plot_id", "row", "col", "lam1", "lam2", "blobness"))
+    out = _raw(spark, sf_dir)
+    for i, s in enumerate(op.SIGMAS_M):
+        out = op.hessian(out, PX, s).withColumnRenamed("blobness", f"b{i}").drop("lam1", "lam2")
+    return rounded(out.select("plot_id", "row", "col", *[f"b{i}" for i in _S]))
+
 
+_ONE, _EDGE, _SMOOTH = st.gauss(1.0), [(-1, -0.5), (0, 0.0), (1, 0.5)], [(-1, 0.25), (0, 0.5), (1, 0.25)]
 
-@query("sobel_slope")
+
+@query("sobel_slope", f'WITH {PIXELS}, {_conv("sm", _ONE, _ONE)}, {_conv("sy", _EDGE, _SMOOTH, "sm", "v")}, {_conv("sx", _SMOOTH, _EDGE, "sm", "v")} SELECT plot_id, "row", col, round(sqrt((sy.v * sy.v + sx.v * sx.v) / 2), 6) + 0.0e0 AS slope FROM sy JOIN sx {_USING}')
 def sobel_slope(spark, sf_dir):
     return rounded(op.slope(_raw(spark, sf_dir)).select("plot_id", "row", "col", "slope"))
 
@@ -78,24 +103,62 @@ def _tops(spark, sf_dir):
     return adapters.trees(spark, sf_dir)
 
 
-def _labels(spark, sf_dir):
-    return op.watershed_labels(op.slope(_masked(spark, sf_dir)).select("plot_id", "row", "col", "z", "mask", "slope"), _tops(spark, sf_dir))
-
-
 @query("watershed_labels")
 def watershed_labels(spark, sf_dir):
-    return _labels(spark, sf_dir).select("plot_id", "row", "col", "tree_id")
+    px = op.slope(_masked(spark, sf_dir)).select("plot_id", "row", "col", "z", "mask", "slope")
+    return op.watershed_labels(px, _tops(spark, sf_dir)).select("plot_id", "row", "col", "tree_id")
+
+
+_CROWNS = f"""{PIXELS}, {LABELS}, cr0 AS (SELECT plot_id, tree_id, count(*) * 0.25e0 AS area_m2, avg(z) AS mean_h, max(z) AS max_h, CAST(max("row" IN (0, 39) OR col IN (0, 39)) AS INTEGER) AS edge_flag FROM a_labels GROUP BY ALL HAVING count(*) * 0.25e0 >= 2),
+cr AS (SELECT c.*, h AS peak_h, sqrt(area_m2 / pi()) AS radius_eq_m, least(greatest(0.8e0 + 0.25e0 * h, 1.2e0), 5.0e0) AS r_max_m, CAST(sqrt(area_m2 / pi()) > 1.15e0 * least(greatest(0.8e0 + 0.25e0 * h, 1.2e0), 5.0e0) AS INTEGER) AS oversize FROM cr0 c JOIN a_trees USING (plot_id, tree_id))"""
+_R = lambda cols: ", ".join(f"round({c}, 6) + 0.0e0 AS {c}" for c in cols)
+
 
+def _crowns(spark, sf_dir):
+    return op.crowns(adapters.labels(spark, sf_dir), _tops(spark, sf_dir), PX)
 
-@query("crown_zonal")
+
+@query("crown_zonal", f"WITH {_CROWNS} SELECT plot_id, tree_id, edge_flag, oversize, {_R(('area_m2', 'mean_h', 'max_h', 'peak_h', 'radius_eq_m', 'r_max_m'))} FROM cr")
 def crown_zonal(spark, sf_dir):
-    return rounded(op.crowns(_labels(spark, sf_dir), _tops(spark, sf_dir), PX))
+    return rounded(_crowns(spark, sf_dir))
+
 
+_NND = f'nn AS (SELECT a.plot_id, a.tree_id, min(sqrt(((a."row" - b."row") * (a."row" - b."row") + (a.col - b.col) * (a.col - b.col))::DOUBLE) * 0.5e0) AS nnd FROM a_trees a JOIN a_trees b ON a.plot_id = b.plot_id AND a.tree_id <> b.tree_id GROUP BY ALL)'
+_PER = """n AS (SELECT plot_id, count(*) AS n_trees FROM a_trees GROUP BY ALL), d AS (SELECT plot_id, avg(nnd) AS mean_nnd_m, stddev_samp(nnd) / greatest(avg(nnd), 1e-6) AS cv_nnd FROM nn GROUP BY ALL),
+c AS (SELECT plot_id, sum(area_m2) / 400.0e0 AS cover_ratio, avg(radius_eq_m) AS mean_radius_m, CASE WHEN count(*) > 1 THEN stddev_samp(radius_eq_m) / greatest(avg(radius_eq_m), 1e-6) ELSE 0.0e0 END AS cv_radius, avg(oversize) AS pct_oversize, avg(edge_flag) AS pct_edge_trees, avg(peak_h) AS mean_peak_h FROM cr GROUP BY ALL)"""
 
-@query("slim_plot_features")
+
+@query("slim_plot_features", f"WITH {_CROWNS}, {_NND}, {_PER} SELECT plot_id, n_trees, {_R(('mean_nnd_m', 'cv_nnd', 'cover_ratio', 'mean_radius_m', 'cv_radius', 'pct_oversize', 'pct_edge_trees', 'mean_peak_h'))} FROM n LEFT JOIN d USING (plot_id) LEFT JOIN c USING (plot_id)")
 def slim_plot_features(spark, sf_dir):
     tops = _tops(spark, sf_dir)
-    return rounded(op.plot_metrics(tops, op.crowns(_labels(spark, sf_dir), tops, PX), PX, 1600))
+    sizes = tops.select("plot_id").distinct().withColumn("pixels", F.lit(1600))
+    return rounded(op.plot_metrics(tops, _crowns(spark, sf_dir), PX, sizes))
+
+
+@query("rmax_oversize", f"WITH {_CROWNS} SELECT plot_id, tree_id, {_R(('r_max_m', 'radius_eq_m'))}, oversize FROM cr")
+def rmax_oversize(spark, sf_dir):
+    return rounded(_crowns(spark, sf_dir).select("plot_id", "tree_id", "r_max_m", "radius_eq_m", "oversize"))
+
+
+@query("crown_edge_flag", f"WITH {_CROWNS} SELECT plot_id, tree_id, edge_flag FROM cr")
+def crown_edge_flag(spark, sf_dir):
+    return _crowns(spark, sf_dir).select("plot_id", "tree_id", "edge_flag")
+
+
+@query("crown_polygons")
+def crown_polygons(spark, sf_dir):
+    return masks.crown_polygons(adapters.labels(spark, sf_dir), (PX, 0.0, 500000.0, 0.0, -PX, 5300000.0))
+
+
+@query("detect_treetops")
+def detect_treetops(spark, sf_dir):
+    px = masks.mask_intersection(_raw(spark, sf_dir), PX)
+    return rounded(op.detect(px, PX))
+
+
+@query("process_plots")
+def process_plots(spark, sf_dir):
+    return rounded(op.delineate(_raw(spark, sf_dir), PX)["features"])
 
 
 _CAND = f"{TREES}, cd AS (SELECT *, row_number() OVER (PARTITION BY plot_id ORDER BY h + tree_id / 1000000.0e0 DESC, \"row\", col) AS k FROM a_trees)"
@@ -120,30 +183,20 @@ def nms_second_pass(spark, sf_dir):
     return op.suppressed(op.suppressed(_candidates(spark, sf_dir)), 0.8).select("plot_id", "tree_id")
 
 
-_NND = f'{TREES}, nn AS (SELECT a.plot_id, a.tree_id, min(sqrt(((a."row" - b."row") * (a."row" - b."row") + (a.col - b.col) * (a.col - b.col))::DOUBLE) * 0.5e0) AS nnd FROM a_trees a JOIN a_trees b ON a.plot_id = b.plot_id AND a.tree_id <> b.tree_id GROUP BY ALL)'
-
-
-@query("tree_nnd", f"WITH {_NND} SELECT plot_id, tree_id, round(nnd, 6) AS nnd FROM nn")
+@query("tree_nnd", f"WITH {TREES}, {_NND} SELECT plot_id, tree_id, round(nnd, 6) AS nnd FROM nn")
 def tree_nnd(spark, sf_dir):
     return rounded(op.nearest(_tops(spark, sf_dir), PX))
 
 
-@query("nnd_stats", f"WITH {_NND} SELECT plot_id, round(avg(nnd), 6) AS mean_nnd_m, round(stddev_samp(nnd) / greatest(avg(nnd), 1e-6), 6) AS cv_nnd FROM nn GROUP BY plot_id")
+@query("nnd_stats", f"WITH {TREES}, {_NND} SELECT plot_id, round(avg(nnd), 6) AS mean_nnd_m, round(stddev_samp(nnd) / greatest(avg(nnd), 1e-6), 6) AS cv_nnd FROM nn GROUP BY plot_id")
 def nnd_stats(spark, sf_dir):
     return rounded(op.spacing(_tops(spark, sf_dir), PX))
 
 
-@query("rmax_oversize", f"WITH {TREES} SELECT tree_id, round(least(greatest(0.8e0 + 0.25e0 * h, 1.2e0), 5.0e0), 6) AS r_max_m FROM a_trees")
-def rmax_oversize(spark, sf_dir):
-    return rounded(_tops(spark, sf_dir).select("tree_id", op.rmax(F.col("h")).alias("r_max_m")))
+_AFFINE = (0.5, 0.125, 500000.0, -0.25, -0.5, 5300000.0)
 
 
-@query("pix_to_xy", f'WITH {TREES} SELECT tree_id, 500000.0e0 + col * 0.5e0 AS x, 5300000.0e0 - "row" * 0.5e0 AS y FROM a_trees')
+@query("pix_to_xy", f'WITH {TREES} SELECT tree_id, 500000.0e0 + col * 0.5e0 + "row" * 0.125e0 AS x, 5300000.0e0 - col * 0.25e0 - "row" * 0.5e0 AS y FROM a_trees')
 def pix_to_xy(spark, sf_dir):
-    return _tops(spark, sf_dir).select("tree_id", (500000.0 + F.col("col") * 0.5).alias("x"), (5300000.0 - F.col("row") * 0.5).alias("y"))
-
-
-@query("crown_edge_flag", f'WITH {TREES} SELECT tree_id, CAST("row" IN (0, 39) OR col IN (0, 39) AS INTEGER) AS edge_flag FROM a_trees')
-def crown_edge_flag(spark, sf_dir):
-    edge = F.col("row").isin(0, 39) | F.col("col").isin(0, 39)
-    return _tops(spark, sf_dir).select("tree_id", edge.cast("int").alias("edge_flag"))
+    x, y = op.pix_to_xy(_AFFINE)
+    return _tops(spark, sf_dir).select("tree_id", x.alias("x"), y.alias("y"))
