@@ -30,13 +30,15 @@ BITS = 18
 PER_CLASS = 1500
 #: Frequencies are per so many n-grams; the smoothing of the sums; the ridge.
 PER, SMOOTH, L2 = 1000.0, 0.1, 0.1
+#: Bytes of a text that are hashed at once.
+CHUNK = 1 << 16
 #: Training texts whose products are made at once.
 BLOCK = 64
 
 
-def grams(text: str, orders: tuple[int, ...] = ORDERS, bits: int = BITS) -> np.ndarray:
-    """Hashes of all n-grams of a text, repeats included."""
-    b = np.frombuffer((" " + " ".join(text.lower().split()) + " ").encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint64)
+def grams(b: np.ndarray, orders: tuple[int, ...] = ORDERS, bits: int = BITS) -> np.ndarray:
+    """Hashes of all n-grams of a text's bytes, repeats included."""
+    b = b.astype(np.uint64)
     out, h = [], b
     for n in range(2, max(orders) + 1):
         if len(h) < 2:
@@ -44,13 +46,25 @@ def grams(text: str, orders: tuple[int, ...] = ORDERS, bits: int = BITS) -> np.n
         h = h[:-1] * np.uint64(1099511628211) + b[n - 1 :]
         if n in orders:
             x = (h ^ np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
-            out.append(((x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - bits)).astype(np.int64))
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+            out.append(((x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - bits)).astype(np.int32))
+    return np.concatenate(out) if out else np.zeros(0, np.int32)
 
 
 def features(text: str, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """A text's distinct hashes, and the logarithm of one and how often each stands among PER n-grams of it."""
-    h, n = np.unique(grams(text, bits=bits).astype(np.int32), return_counts=True)
+    """A text's distinct hashes, and the logarithm of one and how often each stands among PER n-grams of it.
+
+    Texts longer than CHUNK bytes are counted piece by piece, so that a worker's memory does not follow the longest text.
+    """
+    b = np.frombuffer((" " + " ".join(text.lower().split()) + " ").encode("utf-8", "surrogatepass"), np.uint8)
+    if len(b) <= CHUNK:
+        h, n = np.unique(grams(b, bits=bits), return_counts=True)
+    else:
+        table = np.zeros(1 << bits, np.int64)
+        for order in ORDERS:
+            for at in range(0, len(b) - order + 1, CHUNK):
+                table += np.bincount(grams(b[at : at + CHUNK + order - 1], (order,), bits), minlength=1 << bits)
+        h = np.flatnonzero(table).astype(np.int32)
+        n = table[h]
     return h, np.log1p(n * (PER / max(1, n.sum()))).astype(np.float32)
 
 
@@ -116,8 +130,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
     """All columns of ``docs`` with ``score`` and ``predicted`` of each whole text.
 
     Null counts as empty, and an empty text gets the score of its one or two
-    blanks, that is of no feature; a long text is read whole, in time and memory
-    in proportion.  Rows are scored one by one, so repeats and empty tables need
+    blanks, that is of no feature; a long text is read whole, in time in
+    proportion.  Rows are scored one by one, so repeats and empty tables need
     no rule; columns of the same names are replaced.
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))

@@ -226,6 +226,14 @@ def test_toxicity_and_quality():
         assert quality.fit(["a"], np.array([only]), np.ones(1)).score("") == pytest.approx(only, abs=1e-3)
 
 
+def test_long_texts_have_the_features_of_their_pieces(monkeypatch):
+    text = " ".join(f"wörd{i % 97} no{i}" for i in range(3000))
+    whole = toxicity.features(text)
+    monkeypatch.setattr(toxicity, "CHUNK", 100)
+    for a, b in zip(whole, toxicity.features(text), strict=True):
+        assert (a == b).all()
+
+
 def test_chain_marginals_match_enumeration():
     r = np.random.default_rng(1)
     chain = quality.Chain(r.normal(size=quality.FEATURES), r.normal(size=(2, 2)))
