@@ -6,11 +6,11 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.durable import cut
 from . import canopy, masks, stencils
 from .components import PLOT_PIXELS, label, plotwise, rasters
 
@@ -226,7 +226,7 @@ def watershed_labels(px: DataFrame, tops: DataFrame, compactness: float = COMPAC
         return pd.DataFrame({"plot_id": key[0], "row": r, "col": c, "z": z[r, c], "tree_id": ids[lab[r, c] - 1], "height": lab.shape[0], "width": lab.shape[1]})
 
     a = px.selectExpr("plot_id", "row", "col", "z", "slope", "CAST(mask AS DOUBLE) AS m").groupBy("plot_id")
-    b = tops.selectExpr("plot_id", "CAST(row AS BIGINT) AS row", "CAST(col AS BIGINT) AS col", "tree_id").groupBy("plot_id")
+    b = tops.selectExpr("plot_id AS plot", "CAST(row AS BIGINT) AS row", "CAST(col AS BIGINT) AS col", "tree_id").groupBy("plot")  # a name of its own, as treetops may come from the same pixels
     return a.cogroup(b).applyInPandas(run, "plot_id long, row long, col long, z double, tree_id long, height long, width long")
 
 
@@ -251,7 +251,7 @@ def detect(px: DataFrame, pixel: float, sigmas: tuple[float, ...] = SIGMAS_M, eq
     df = stencils.convolved(px.select("plot_id", "row", "col", "z", "mask"), "z", kernels)
     blobs = [blobness(F.col(f"_xx{i}"), F.col(f"_yy{i}"), F.col(f"_xy{i}"))[2] for i in range(len(sigmas))]
     df = df.select("plot_id", "row", "col", "z", "mask", (F.col("z") - F.col("_bg")).alias("lhd"), F.array(*[f"_r{i}" for i in range(len(sigmas))]).alias("resp"), F.array(*blobs).alias("blob"))
-    df = df.persist(StorageLevel.DISK_ONLY)  # read three times below; it lives until the session or the caller ends it
+    df = cut(df)  # read three times below
     limits = scale_thresholds(df, sigmas=sigmas).where("threshold > 0").groupBy("plot_id").agg(F.map_from_entries(F.collect_list(F.struct("scale", "threshold"))).alias("limits"))
     over = [F.when(F.col("mask") & (F.get("resp", F.lit(i)) > F.try_element_at("limits", F.lit(i))), F.get("resp", F.lit(i))).otherwise(0.0).alias(f"v{i}") for i in range(len(sigmas))]
     names = ["plot_id", "row", "col", "scale", "plateau"]
@@ -269,7 +269,7 @@ def detect(px: DataFrame, pixel: float, sigmas: tuple[float, ...] = SIGMAS_M, eq
     c = c.where((F.col("z") >= MIN_H) & stands & (best_scale() == F.col("scale")) & (F.get("blob", F.col("scale")) >= BLOB_MIN))
     c = c.select("plot_id", "row", "col", F.get(F.array(*[F.lit(float(s)) for s in sigmas]), F.col("scale")).alias("sigma_m"), F.col("z").alias("h"), F.get("resp", F.col("scale")).alias("score"))
     order = Window.partitionBy("plot_id").orderBy(F.desc("score"), "row", "col", "sigma_m")
-    c = c.withColumn("tree_id", F.row_number().over(order).cast("long")).withColumn("r", F.col("sigma_m") * (NMS_K / pixel))
+    c = cut(c.withColumn("tree_id", F.row_number().over(order).cast("long")).withColumn("r", F.col("sigma_m") * (NMS_K / pixel)))
     kept = suppressed(suppressed(c).select("plot_id", "row", "col", "r", "score", "tree_id"), 0.8)
     kept = c.drop("r", "tree_id").join(kept.select("plot_id", "row", "col"), ["plot_id", "row", "col"])
     return kept.withColumn("tree_id", F.row_number().over(order).cast("long"))
@@ -284,10 +284,11 @@ def delineate(px: DataFrame, pixel: float) -> dict[str, DataFrame]:
     """
     px = px.select("plot_id", "row", "col", canopy.non_negative(F.col("z").cast("double")).alias("z"))
     px = stencils.fill_pits(px, max(1, round(PIT_RADIUS_M / pixel)), PIT_DEPTH_M).select("plot_id", "row", "col", F.col("filled").alias("z"))
-    px = masks.mask_intersection(px, pixel).select("plot_id", "row", "col", "z", "mask").persist(StorageLevel.DISK_ONLY)
-    tops = detect(px, pixel).persist(StorageLevel.DISK_ONLY)
-    labels = watershed_labels(slope(px), tops)
-    table = crowns(labels, tops, pixel).join(tops.drop("h"), ["plot_id", "tree_id"])
+    px = masks.mask_intersection(px, pixel).select("plot_id", "row", "col", "z", "mask")
+    px = cut(px)
+    tops = cut(detect(px, pixel))
+    labels = cut(watershed_labels(slope(px), tops))
+    table = cut(crowns(labels, tops, pixel).join(tops.drop("h"), ["plot_id", "tree_id"]))
     labels = labels.join(table.select("plot_id", "tree_id"), ["plot_id", "tree_id"], "left_semi")
     sizes = px.groupBy("plot_id").agg(F.count("*").alias("pixels"))
     return {"tops": tops, "labels": labels, "crowns": table, "features": plot_metrics(tops, table, pixel, sizes)}

@@ -142,7 +142,7 @@ def gps_sql() -> str:
 
 
 def gps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(_gps_text("STRING", "{customer}"), customer=table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"))
+    return _settled(spark.sql(_gps_text("STRING", "{customer}"), customer=table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")))
 
 
 _PLACE = "round(-84.0e0 + (({k} * 37) % 401 - 200) * 0.0005e0, 6) AS lon0, round(47.0e0 + ({k} % 1777) * 0.001e0 + floor({k} / 1777.0e0) * 0.00037e0, 6) AS lat0"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.durable import cut
 from ..operators import masks
 from ..operators import stencils as st
 from ..operators import trees as op
@@ -111,16 +112,16 @@ def watershed_labels(spark, sf_dir):
 
 _CROWNS = f"""{PIXELS}, {LABELS}, cr0 AS (SELECT plot_id, tree_id, count(*) * 0.25e0 AS area_m2, avg(z) AS mean_h, max(z) AS max_h, CAST(max("row" IN (0, 39) OR col IN (0, 39)) AS INTEGER) AS edge_flag FROM a_labels GROUP BY ALL HAVING count(*) * 0.25e0 >= 2),
 cr AS (SELECT c.*, h AS peak_h, sqrt(area_m2 / pi()) AS radius_eq_m, least(greatest(0.8e0 + 0.25e0 * h, 1.2e0), 5.0e0) AS r_max_m, CAST(sqrt(area_m2 / pi()) > 1.15e0 * least(greatest(0.8e0 + 0.25e0 * h, 1.2e0), 5.0e0) AS INTEGER) AS oversize FROM cr0 c JOIN a_trees USING (plot_id, tree_id))"""
-_R = lambda cols: ", ".join(f"round({c}, 6) + 0.0e0 AS {c}" for c in cols)
+_R = lambda cols, places=6: ", ".join(f"round({c}, {places}) + 0.0e0 AS {c}" for c in cols)
 
 
 def _crowns(spark, sf_dir):
     return op.crowns(adapters.labels(spark, sf_dir), _tops(spark, sf_dir), PX)
 
 
-@query("crown_zonal", f"WITH {_CROWNS} SELECT plot_id, tree_id, edge_flag, oversize, {_R(('area_m2', 'mean_h', 'max_h', 'peak_h', 'radius_eq_m', 'r_max_m'))} FROM cr")
+@query("crown_zonal", f"WITH {_CROWNS} SELECT plot_id, tree_id, edge_flag, oversize, {_R(('area_m2', 'mean_h', 'max_h', 'peak_h', 'radius_eq_m', 'r_max_m'), 9)} FROM cr")
 def crown_zonal(spark, sf_dir):
-    return rounded(_crowns(spark, sf_dir))
+    return rounded(_crowns(spark, sf_dir), 9)
 
 
 _NND = f'nn AS (SELECT a.plot_id, a.tree_id, min(sqrt(((a."row" - b."row") * (a."row" - b."row") + (a.col - b.col) * (a.col - b.col))::DOUBLE) * 0.5e0) AS nnd FROM a_trees a JOIN a_trees b ON a.plot_id = b.plot_id AND a.tree_id <> b.tree_id GROUP BY ALL)'
@@ -152,8 +153,7 @@ def crown_polygons(spark, sf_dir):
 
 @query("detect_treetops")
 def detect_treetops(spark, sf_dir):
-    px = masks.mask_intersection(_raw(spark, sf_dir), PX)
-    return rounded(op.detect(px, PX))
+    return rounded(op.detect(cut(masks.mask_intersection(_raw(spark, sf_dir), PX)), PX))
 
 
 @query("process_plots")

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from copse.functions import geo
 from copse.functions.geo import forward, inverse, staged
 from copse.operators import canopy, coordinates, metrics, point_features, stencils, tiles, trees
 from copse.operators.components import label
@@ -33,7 +34,7 @@ def test_coordinates(spark):
 
 
 def test_coverage(spark):
-    plots = spark.createDataFrame([("P1", 0.0, 0.0)], "plot_id string, e double, n double")
+    plots = spark.createDataFrame([("P1", 0.0, 0.0, 2956)], "plot_id string, e double, n double, epsg int")
     tile = lambda name, a, b: (f"d/P1{name}_CHM_1m.tif", "d", "CHM", 2956, a, -10.0, b, 10.0)
     schema = "path string, dir string, kind string, epsg int, xmin double, ymin double, xmax double, ymax double"
     mode = lambda *t: tiles.coverage(plots, spark.createDataFrame(list(t), schema)).where("kind = 'CHM'").first()
@@ -41,6 +42,32 @@ def test_coverage(spark):
     assert mode(west, east).mode == "union"
     assert (mode(west).mode, mode(west).missing) == ("none", [1, 2, 5])
     assert mode(tile("-c", -9.0, 9.0)).mode == "single"
+    assert mode((*west[:3], None, *west[4:])).mode == "none"
+
+
+def test_plots_and_tiles_of_two_zones(spark):
+    at = spark.createDataFrame([(-84.02, 47.3)], "lon double, lat double")
+    e16, n16 = geo.staged(at, geo.forward("lon", "lat", "16", 298.257222101, "p")).select("pe", "pn").first()
+    e17, n17 = geo.staged(at, geo.forward("lon", "lat", "17", 298.257222101, "p")).select("pe", "pn").first()
+    rows = [(e16, n16, 2956, 2957), (e17, n17, 2957, 2956), (e16, n16, 2956, 2956), (e16, n16, 32616, 26917), (e16, n16, 1, 2957)]
+    to = geo.placed(spark.createDataFrame(rows, "e double, n double, a int, b int"), geo.reprojection("e", "n", "a", "b", "q"), "qe", "qn").collect()
+    for got, want in zip(to, [(e17, n17), (e16, n16), (e16, n16), (e17, n17), (None, None)], strict=True):
+        assert want == (None, None) == (got.qe, got.qn) or (got.qe, got.qn) == pytest.approx(want, abs=2e-3)
+    south = geo.placed(spark.createDataFrame([(400000.0, 9000000.0, 32716, 32717)], "e double, n double, a int, b int"), geo.reprojection("e", "n", "a", "b", "q"), "qe", "qn").first()
+    back = geo.placed(spark.createDataFrame([(south.qe, south.qn, 32717, 32716)], "e double, n double, a int, b int"), geo.reprojection("e", "n", "a", "b", "q"), "qe", "qn").first()
+    assert (back.qe, back.qn) == pytest.approx((400000.0, 9000000.0), abs=1e-2)
+    plots = spark.createDataFrame([("P1", e16, n16, 2956)], "plot_id string, e double, n double, epsg int")
+    tile = spark.createDataFrame([("d/P1_CHM_1m.tif", "d", "CHM", 2957, e17 - 11, n17 - 11, e17 + 11, n17 + 11)], "path string, dir string, kind string, epsg int, xmin double, ymin double, xmax double, ymax double")
+    assert tiles.coverage(plots, tile).where("kind = 'CHM'").first().mode == "single" and tiles.overlap(plots, tile).count() == 1
+    assert tiles.overlap(plots.withColumn("e", F.col("e") + 40), tile).count() == 0
+    pair = plots.selectExpr("*", "'r' AS path", "2957 AS tile_epsg", f"{e17}D - 30 AS x0", f"{n17}D + 5 AS y0", "0.9D AS px_x", "0.5D AS px_y", "100L AS width", "100L AS height")
+    w = tiles.clip_windows(pair).first()
+    assert (w.col0, w.col1, w.row0, w.row1) == (33 - 11, 33 + 11, 0, 30)  # 22 pixels of 0.9 m, 40 of 0.5 m cut at the top
+
+
+def test_merged_points_are_in_the_format_of_the_first_file(spark):
+    p = spark.createDataFrame([(1, "b", 3, 1.0), (1, "a", 7, 2.0), (1, "a", 7, 3.0), (2, "b", 3, 4.0)], "box long, path string, point_format int, z double")
+    assert sorted(x.z for x in tiles.merge_points(p).collect()) == [2.0, 3.0, 4.0]
 
 
 def test_point_features_and_entropy(spark):
@@ -72,13 +99,13 @@ def test_components_and_stencils(spark):
     z = r.random((6, 7))
     px = spark.createDataFrame([(1, i, j, float(z[i, j])) for i in range(6) for j in range(7)], "plot_id long, row long, col long, z double")
     wide = np.pad(z, 1, mode="edge")
-    std = {(x.row, x.col): x.local_std for x in stencils.local_moments(px, 1, 1).collect()}
+    std = {(x.row, x.col): x.k_std for x in stencils.local_moments(px, {"k": (1, 1)}).collect()}
     assert all(std[i, j] == pytest.approx(wide[i : i + 3, j : j + 3].std(), abs=1e-9) for i in range(6) for j in range(7))
     closed = stencils.fill_pits(px, 1, 99.0)
     again = stencils.fill_pits(closed.select("plot_id", "row", "col", F.col("filled").alias("z")), 1, 99.0)
     assert closed.where("filled < z").count() == 0 and again.where("abs(filled - z) > 1e-12").count() == 0
     k = stencils.gauss(0.8)
-    got = {(x.row, x.col): x.g for x in stencils.convolved(px, "z", {"g": (k, k)}).collect()}
+    got = {(x.row, x.col): x.g for x in stencils.convolved(px, "z", {"g": [(k, k)]}).collect()}
     far = np.pad(z, 6, mode="symmetric")
     w = dict(k)
     want = sum(w[a] * w[b] * far[6 + 2 + a, 6 + 3 + b] for a in w for b in w)
