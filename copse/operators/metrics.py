@@ -148,11 +148,16 @@ def calibration_bins(scores: DataFrame, bins: int = 8) -> DataFrame:
 
 def metrics_table(scores: DataFrame, by: str = "fold", label: str = "model") -> DataFrame:
     """Three settings: threshold 0.5, the cross-validated threshold, and scores alone (no accuracy nor F1)."""
-    base = running(scores).agg(_auc().alias("roc_auc"), _ap().alias("pr_auc")).crossJoin(brier(scores))
-    cv = cv_threshold(scores, by)
+    return settings_table(scores, cv_threshold(scores, by), label)
+
+
+def settings_table(scores: DataFrame, cv: DataFrame, label: str) -> DataFrame:
+    """The same with a cross-validated threshold (one row) from elsewhere."""
+    base = running(scores).agg(_auc().alias("roc_auc"), _ap().alias("pr_auc"))
     settings = cv.select(F.inline(F.array(F.struct(F.lit(f"{label}@0.50").alias("label"), F.lit(0.5).alias("threshold")), F.struct(F.lit(f"{label}@cv_opt").alias("label"), F.col("threshold")), F.struct(F.lit(f"{label}_proba_only").alias("label"), F.lit(None).cast("double").alias("threshold")))))
     up = F.col("score") >= F.col("threshold")
-    c = scores.crossJoin(F.broadcast(settings)).groupBy("label", "threshold").agg(*[v.alias(k) for k, v in counts_at(0, up).items()])  # three settings
+    miss = F.avg((F.col("score") - F.col("y")) * (F.col("score") - F.col("y"))).alias("brier")
+    c = scores.crossJoin(F.broadcast(settings)).groupBy("label", "threshold").agg(miss, *[v.alias(k) for k, v in counts_at(0, up).items()])  # three settings
     known = F.col("threshold").isNotNull()
     return c.crossJoin(base).select(
         "label", "threshold", "roc_auc", "pr_auc", "brier",

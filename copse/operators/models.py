@@ -12,16 +12,22 @@ from __future__ import annotations
 import numpy as np
 from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.durable import cut
+from . import metrics, preparation
 from .preparation import digest, ranked
 
 FOLDS = 5
 TREES, DEPTH, LEAF = 600, 12, 2
+#: Iterations of the elastic net, at most; the fit ends when it rests, here after some tens.
+ITERATIONS = 5000
 FOURIER = 128
+#: Rows of a partition of training data.
+ROWS = 50_000
 
 
 def folded(train: DataFrame, folds: int = FOLDS) -> DataFrame:
@@ -41,7 +47,7 @@ def forest(trees: int = TREES, seed: int = 42):
 
 
 def elastic_net(rows: int):
-    return LogisticRegression(labelCol="y", elasticNetParam=0.5, regParam=1.0 / rows, weightCol="weight", standardization=False, maxIter=200)
+    return LogisticRegression(labelCol="y", elasticNetParam=0.5, regParam=1.0 / rows, weightCol="weight", standardization=False, maxIter=ITERATIONS)
 
 
 def margin_machine(rows: int):
@@ -63,9 +69,15 @@ def _raw(df: DataFrame) -> Column:
     return vector_to_array(F.col(col))[1]
 
 
+def sized(df: DataFrame) -> DataFrame:
+    """Cut to a checkpoint of one partition for each ROWS rows: a fit reads it hundreds of times, and a small table in many parts is all overhead."""
+    df = cut(df)
+    return cut(df.repartition(df.count() // ROWS + 1))
+
+
 def calibrated(train: DataFrame, test: DataFrame, make, isotonic: bool, features: str = "features") -> DataFrame:
     """``(id, y, probability)`` of the test rows: mean of the folds' calibrated models."""
-    train = balanced(folded(train)).persist()
+    train = sized(balanced(folded(train)))
     parts = None
     for k in range(FOLDS):
         base = make.copy({make.featuresCol: features}).fit(train.where(F.col("fold") != k))
@@ -82,3 +94,41 @@ def calibrated(train: DataFrame, test: DataFrame, make, isotonic: bool, features
             p = out.select("id", "y", vector_to_array("probability")[1].alias("p"))
         parts = p if parts is None else parts.unionByName(p)
     return parts.groupBy("id", "y").agg(F.avg("p").alias("probability"))
+
+
+def estimators(rows: int, trees: int = TREES) -> dict[str, tuple[object, bool, str]]:
+    """Of each model the estimator, whether it is calibrated by an isotonic curve, and its column of features."""
+    return {"RF": (forest(trees), True, "features"), "LogitEN": (elastic_net(rows), False, "features"), "SVM_RBF": (margin_machine(rows), False, "rff")}
+
+
+def compare(train: DataFrame, test: DataFrame, trees: int = TREES) -> DataFrame:
+    """The metrics of all models: fit, threshold by cross-validation on the training rows, three settings each on the test rows.
+
+    Each of the training folds is scored by a calibrated model of the others.
+    """
+    train = sized(folded(train).withColumnRenamed("fold", "cv"))
+    rows, out = train.count(), None
+    for name, (make, isotonic, features) in estimators(rows, trees).items():
+        scored = cut(calibrated(train.drop("cv"), test, make, isotonic, features)).select("y", F.col("probability").alias("score"))
+        held = None
+        for k in range(FOLDS):
+            part = calibrated(train.where(F.col("cv") != k).drop("cv"), train.where(F.col("cv") == k).drop("cv"), make, isotonic, features)
+            part = cut(part).select("y", F.col("probability").alias("score"), F.lit(k).alias("fold"))
+            held = part if held is None else held.unionByName(part)
+        table = metrics.settings_table(scored, metrics.cv_threshold(held), name)
+        out = table if out is None else out.unionByName(table)
+    return out
+
+
+def importance(train: DataFrame, test: DataFrame, cols: list[str], make, isotonic: bool, repeats: int, name: str) -> DataFrame:
+    """Permutation importance of a calibrated model on the test rows (id, y, cols): drop in average precision over ``repeats`` permutations, with shares and ranks.
+
+    The fitted models score all permuted copies of the test rows in one pass.
+    """
+    base = test.select("id", "y", *cols)
+    copies = preparation.permuted(base, cols, repeats)
+    shown = base.select(F.lit("").alias("feature"), F.lit(0).alias("rep"), "id", "y", *cols).unionByName(copies.select("feature", "rep", "id", "y", *cols))
+    shown = shown.select(F.struct("feature", "rep", "id").alias("id"), "y", F.array(*cols).alias("x")).withColumn("features", array_to_vector("x")).select("id", "y", "features")
+    scored = cut(calibrated(train, shown, make, isotonic)).select("id.feature", "id.rep", "y", F.round("probability", 9).alias("score"))
+    ap = metrics.average_precision(scored, ("feature", "rep"))
+    return preparation.importance_shares(preparation.importance_table(ap.where("feature <> ''"), ap.where("feature = ''").select(F.col("pr_auc").alias("baseline_ap"))), name)

@@ -70,23 +70,36 @@ def linear_score(cols: list[str], weights: list[float]) -> Column:
     return 1.0 / (1.0 + F.exp(-z))
 
 
+def permuted(df: DataFrame, cols: list[str], repeats: int) -> DataFrame:
+    """Adds ``feature`` and ``rep``: the rows once for each feature and repeat, that feature's values permuted.
+
+    The permutation of a repeat pairs rows by their ranks in two digest orders.
+    The order by id is the same for all, so rows are ranked by it once, and only
+    (id, value) goes through the ranking of each feature and repeat.
+    """
+    to = ranked(df.withColumn("_one", F.lit(0)), ["_one"], digest(F.col("id")), "id").withColumnRenamed("rank", "k").drop("size", "_one")
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in cols])).alias("p")
+    values = df.select("id", pairs).select("id", "p.feature", "p.value", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("rep"))
+    given = ranked(values, ["feature", "rep"], digest(F.col("id"), F.col("feature"), F.col("rep")), "id").select("feature", "rep", F.col("rank").alias("k"), "value")
+    both = to.join(given, "k")
+    rest = [c for c in df.columns if c not in cols]
+    return both.select("feature", "rep", *rest, *[F.when(F.col("feature") == c, F.col("value")).otherwise(F.col(c)).alias(c) for c in cols])
+
+
+def importance_table(ap: DataFrame, base: DataFrame) -> DataFrame:
+    """Mean and population deviation of the drop from the baseline (one row) over repeats."""
+    drop = F.col("baseline_ap") - F.col("pr_auc")
+    return ap.crossJoin(F.broadcast(base)).groupBy("feature").agg(F.avg(drop).alias("perm_importance_mean"), F.stddev_pop(drop).alias("perm_importance_std"), F.first("baseline_ap").alias("baseline_ap"))
+
+
 def permutation_importance(df: DataFrame, cols: list[str], score: Column, repeats: int) -> DataFrame:
     """Mean and population deviation of the drop in average precision when a feature's values are permuted.
 
-    The permutation of a repeat pairs rows by their ranks in two digest orders.
     Columns: feature, perm_importance_mean, perm_importance_std, baseline_ap.
     """
     base = metrics.average_precision(df.select("y", F.round(score, 9).alias("score"))).withColumnRenamed("pr_auc", "baseline_ap")
-    reps = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("rep")
-    values = df.select("id", "y", *cols, F.explode(F.array(*[F.lit(c) for c in cols])).alias("feature")).select("*", reps)
-    to = ranked(values, ["feature", "rep"], digest(F.col("id")), "id").withColumnRenamed("rank", "k").drop("size")
-    pick = F.coalesce(*[F.when(F.col("feature") == c, F.col(c)) for c in cols])
-    given = ranked(values.select("id", "feature", "rep", pick.alias("value")), ["feature", "rep"], digest(F.col("id"), F.col("feature"), F.col("rep")), "id")
-    both = to.join(given.select("feature", "rep", F.col("rank").alias("k"), "value"), ["feature", "rep", "k"])
-    both = both.select("y", "feature", "rep", *[F.when(F.col("feature") == c, F.col("value")).otherwise(F.col(c)).alias(c) for c in cols])
-    ap = metrics.average_precision(both.select("y", "feature", "rep", F.round(score, 9).alias("score")), ("feature", "rep")).crossJoin(F.broadcast(base))  # one row
-    drop = F.col("baseline_ap") - F.col("pr_auc")
-    return ap.groupBy("feature").agg(F.avg(drop).alias("perm_importance_mean"), F.stddev_pop(drop).alias("perm_importance_std"), F.first("baseline_ap").alias("baseline_ap"))
+    both = permuted(df.select("id", "y", *cols), cols, repeats)
+    return importance_table(metrics.average_precision(both.select("y", "feature", "rep", F.round(score, 9).alias("score")), ("feature", "rep")), base)
 
 
 def importance_shares(imp: DataFrame, model: str = "model") -> DataFrame:

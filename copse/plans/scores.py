@@ -141,7 +141,7 @@ def standardize(spark, sf_dir):
 
 
 _WEIGHTS = [((j * 7) % 11 - 5) / 5.0 for j in range(WIDTH)]
-_REPEATS = 3
+_REPEATS = 200
 
 
 def _z(cols: dict[str, str]) -> str:

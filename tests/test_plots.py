@@ -60,7 +60,7 @@ def test_plots_and_tiles_of_two_zones(spark):
     tile = spark.createDataFrame([("d/P1_CHM_1m.tif", "d", "CHM", 2957, e17 - 11, n17 - 11, e17 + 11, n17 + 11)], "path string, dir string, kind string, epsg int, xmin double, ymin double, xmax double, ymax double")
     assert tiles.coverage(plots, tile).where("kind = 'CHM'").first().mode == "single" and tiles.overlap(plots, tile).count() == 1
     assert tiles.overlap(plots.withColumn("e", F.col("e") + 40), tile).count() == 0
-    pair = plots.selectExpr("*", "'r' AS path", "2957 AS tile_epsg", f"{e17}D - 30 AS x0", f"{n17}D + 5 AS y0", "0.9D AS px_x", "0.5D AS px_y", "100L AS width", "100L AS height")
+    pair = plots.selectExpr("*", "'r' AS path", "2957 AS tile_epsg", f"{e17}D - 30 AS x0", f"{n17}D + 5.2D AS y0", "0.9D AS px_x", "0.5D AS px_y", "100L AS width", "100L AS height")
     w = tiles.clip_windows(pair).first()
     assert (w.col0, w.col1, w.row0, w.row1) == (33 - 11, 33 + 11, 0, 30)  # 22 pixels of 0.9 m, 40 of 0.5 m cut at the top
 
