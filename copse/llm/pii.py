@@ -36,25 +36,35 @@ BASE = {
 MORE = {
     "card": r"(?<![0-9])(?:[0-9]{12,19}|[0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{4})(?![0-9])",
     "phone": r"\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}(?![0-9])",
-    "secret": r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?:password|passwd|secret|token|api_key|apikey)\x20?=\x20?\x22?[A-Za-z0-9_/+-]{8,64}\x22?",
+    "secret": r"A[KS]IA[0-9A-Z]{16}(?![0-9A-Za-z])|gh[oprsu]_[0-9A-Za-z]{36}|(?i:password|passwd|passwort|kennwort|contrase\u00f1a|mot_de_passe|secret|token|api_key|apikey|access_key)\x20?=\x20?\x22?[A-Za-z0-9_/+-]{8,64}\x22?",
 }
 STRICT = {
     "email": r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]*\.[A-Za-z]{2,}$",
     "ip": r"^(?:0|[1-9][0-9]{0,2})(?:\.(?:0|[1-9][0-9]{0,2})){3}$",
     "card": r"^(?:[0-9]{13,16}|[0-9]{4}(?:[\x20-][0-9]{4}){3})$",
     "phone": r"^\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}$",
-    "secret": r"^AKIA|[A-Za-z_]=|=\x20?\x22",
+    "secret": r"^A[KS]IA|^gh[oprsu]_|[A-Za-z_]=|=\x20?\x22",
 }
 GAZETTEER = {
-    "email": r"\.(?:com|net|org|edu|gov|info|io|eu|de|fr|es|it|nl|uk|us|ca|ch|at|au|jp|br|in)$",
+    "email": r"\.(?:com|net|org|edu|gov|mil|int|info|biz|name|app|dev|cloud|online|[a-z]{2})$",
     "ip": r"^(?!0\.|127\.|255\.)",
     "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5|4[4-9]))",
     "phone": r"^\+(?:1|7|2[0-9]|3[0-9]|4[0-9]|5[0-9]|6[0-6]|8[1-6]|9[0-8])",
-    "secret": r"(?i)^(?:akia|password|passwd|secret|token|api_?key)",
+    "secret": r"(?i)^(?:a[ks]ia|gh[oprsu]_|pass|kennwort|contrase|mot_de_passe|secret|token|api_?key|access_key)",
 }
 PART = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
-FOR = r"(?i)(?:phone|call|tel|fax|mobile|mail|contact|card|visa|credit|server|host|address|login|key|user)[^a-zA-Z0-9]*$"
-AGAINST = r"(?i)(?:version|section|chapter|page|isbn|order|part|figure|table|number|nr|no|v)[^a-zA-Z0-9]*$"
+# words before a span that speak for it or against it, in English, German, French and Spanish
+FOR = (
+    r"(?i)(?:phone|call|tel|fax|mobile|mail|contact|card|visa|mastercard|credit|server|host|address|login|key|user|account"
+    r"|telefon|handy|rufnummer|durchwahl|anruf|kontakt|karte|kredit|konto|rechner|adresse|schl\u00fcssel|benutzer|nutzer"
+    r"|t\u00e9l\u00e9phone|t\u00e9l|portable|appel|courriel|m\u00e9l|carte|cr\u00e9dit|compte|serveur|h\u00f4te|cl\u00e9|utilisateur"
+    r"|tel\u00e9fono|m\u00f3vil|celular|llamar|correo|contacto|tarjeta|cr\u00e9dito|cuenta|servidor|direcci\u00f3n|clave|usuario)[^\p{L}0-9]*$"
+)
+AGAINST = (
+    r"(?i)(?:version|section|chapter|page|isbn|order|part|figure|table|number|nr|no|v"
+    r"|abschnitt|kapitel|seite|bestellung|teil|abbildung|tabelle|nummer"
+    r"|chapitre|commande|partie|tableau|num\u00e9ro|n\u00b0|secci\u00f3n|cap\u00edtulo|p\u00e1gina|pedido|parte|figura|tabla|n\u00famero)[^\p{L}0-9]*$"
+)
 BEFORE = 24
 LABELERS = 5
 ROUNDS = 50
@@ -146,7 +156,7 @@ def spans(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str =
     has = lambda s: F.contains("text", F.lit(s))
     digits = F.col("text").rlike(r"[0-9](?:[\x20-]?[0-9]){11}")
     gates = {"email": has("@"), "ip": F.col("text").rlike(r"[0-9]\.[0-9]"), "card": digits, "phone": has("+")}
-    more = {"card": digits, "phone": has("+"), "secret": has("=") | has("AKIA")}
+    more = {"card": digits, "phone": has("+"), "secret": has("=") | has("AKIA") | has("ASIA") | F.col("text").rlike("gh[oprsu]_")}
     for kind in BASE:
         df = _find(df, f"base_{kind}", BASE[kind], gates[kind])
     for kind in MORE:
@@ -222,8 +232,9 @@ def detect(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str =
     ``base`` has the spans of the base rules, ``spans`` those and the
     candidates that the classifier accepts; neither accepted candidates of one
     kind overlap (the leftmost stays) nor any of them a base span.  Null and
-    empty texts have none.  Rows are judged one by one, so repeated rows agree;
-    an empty table gives an empty result.
+    empty texts have none; long ones are searched whole.  Rows are judged one by
+    one, so repeated rows agree; an empty table gives an empty result.  Columns
+    ``keep`` may have any names but base and spans.
     """
     found = cut(spans(docs, keep, text_col))
     both = found.select(F.explode(F.concat("base", "candidates")).alias("x"))

@@ -134,6 +134,35 @@ def test_pii(spark):
     assert pii.detect(d.limit(0)).count() == 0
 
 
+def test_pii_reliabilities_and_classifier():
+    r = random.Random(9)
+    right = [0.95, 0.9, 0.85, 0.6, 0.7]  # how often each labeler tells the truth
+    counts = Counter()
+    truths = Counter()
+    for _ in range(6000):
+        truth = r.random() < 0.4
+        votes = tuple((1 if truth else -1) * (1 if r.random() < p else -1) for p in right)
+        counts[votes] += 1
+        truths[votes] += truth
+    model = pii.train([(4, v, 1, n) for v, n in sorted(counts.items())])
+    for j, p in enumerate(right):
+        assert model.reliability[j, 1, 2] == pytest.approx(p, abs=0.05) and model.reliability[j, 0, 0] == pytest.approx(p, abs=0.05)
+    score = lambda v: model.kind[4] + model.bucket[1] + sum(model.vote[j][v[j] + 1] for j in range(5))
+    hits = sum((truths[v] if score(v) >= 0 else n - truths[v]) for v, n in counts.items())
+    assert hits / 6000 > 0.93
+    assert pii.train([]).kind.tolist() == [0] * 5
+
+
+def test_pii_words_of_four_languages(spark):
+    secrets = ["passwort = abcdef0123456789", 'contraseña="x1y2z3w4v5"', "ASIA0123456789ABCDEF", "ghp_" + "a1" * 18]
+    before = ["Tel", "Téléphone", "Rufnummer", "teléfono"]
+    texts = [*secrets, *[f"{b}: +49 30 1234567" for b in before]]
+    d = docs(spark, texts)
+    found = {x.row.doc_id: x for x in pii.spans(d).collect()}
+    assert all(found[i].candidates or found[i].base for i in range(len(texts)))
+    assert all(found[i].base[0].votes[3] == 1 for i in range(4, 8))
+
+
 def test_mixing(spark):
     r = random.Random(3)
     rows = [(i, None if i % 50 == 0 else " ".join(["w"] * r.choice([0, 1, 30, 400, 3000])), "en", None if i % 7 == 6 else f"s{i % 7}", 0) for i in range(300)]
