@@ -44,7 +44,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Repeated rows, equal in id and text, all count in ``group_size``; where the
     id that stays has such repeats, each is marked kept and ``keep_rows`` says
     how many there are (:func:`without_copies` leaves one).  An empty table
-    gives an empty result; columns of the same names are replaced.
+    gives an empty result; columns of the same names are replaced.  Texts are
+    compared whole, however long.
     """
     rows = packed(docs, id_col, text_col)
     size = F.octet_length("text").alias("n")

@@ -103,7 +103,9 @@ class Mix:
     """The mix of one table: ``units`` (documents with their place in the streams) and ``pieces`` (what each slot takes of them).
 
     Rows equal in id, source and text are one unit: each takes what the unit
-    takes.  Null texts have no words and are never taken.
+    takes.  Null and empty texts have no words and are never taken; long ones
+    are cut into blocks like any other.  An empty table gives an empty mix.
+    Columns keep their names, whatever they are.
     """
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = SEED, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, cap: float = CAP):

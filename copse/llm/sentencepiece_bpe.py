@@ -159,12 +159,14 @@ class Agenda:
         return self.text_of(ids).removeprefix(" ")
 
     def check(self) -> None:
-        """Compares the chunks merged since the last call with the library's ids; raises on a difference."""
+        """Compares the chunks merged since the last call with the library's ids, and what they decode to with the library's decoding of these ids; raises on a difference."""
         if self.fresh:
             want = self.library.encode("".join("\n" + c.replace(SPACE, " ") for c, _ in self.fresh))
             mine = [*self.merge(SPACE), *chain.from_iterable((self.of_byte[10], *ids) for _, ids in self.fresh)]
             if want != mine:
                 raise ValueError("the agenda and the sentencepiece library differ")
+            if self.library.decode(want) != "".join("\n" + (self.odd.get(c) or c.replace(SPACE, " ")) for c, _ in self.fresh):
+                raise ValueError("chunks and what the sentencepiece library decodes differ")
             self.fresh = []
         if len(self.memo) > self.size:  # two generations: what has been used lately stays
             self.memo, self.older = {}, self.memo
@@ -195,8 +197,9 @@ OUT_ROWS, OUT_CHARS = 256, 1 << 21
 def encode_decode(docs: DataFrame, model_file: str, outputs: tuple[str, ...] = ("ids", "n_tokens", "decoded"), text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
     """Columns ``keep`` (default: all) of ``docs`` with the chosen ``outputs`` of its whole texts.
 
-    Null and empty texts have no ids.  Rows are independent: repeated rows,
-    ties and empty tables need no rule.  Columns of the same names are
+    Null and empty texts have no ids; long ones are encoded whole, chunk by
+    chunk.  Rows are independent: repeated rows, ties and empty tables need no
+    rule.  Columns of the same names are
     replaced.  ``model_file`` must exist on every executor.
     """
 

@@ -199,7 +199,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the row of the component with the least (id, h).  Texts without words have
     fingerprint 0 and are linked like any other; null counts as empty.  Null
     ids come after all others.  Rows equal in id and text are alike in all
-    columns.  An empty table gives an empty result.
+    columns.  An empty table gives an empty result.  Texts of any length are
+    shingled whole, their bits counted in blocks; other columns of ``docs``, whatever their
+    names, take no part.
     """
     rows = cut(fingerprints(docs, id_col, text_col, shingle))
     key = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("h").alias("h"))

@@ -148,7 +148,7 @@ def repeat_groups(right: list[bytes], left: list[bytes], lcp: list[int], length:
 def extents(lcp: list[int], left: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """Of each occurrence of one anchor the most bytes to the left and to the right over the maximal repeats that hold it.
 
-    What :func:`repeat_groups` gives, folded per occurrence: in an interval of the tree an occurrence's deepest group to
+    What :func:`repeat_groups` gives, folded per occurrence without listing the groups: in an interval of the tree an occurrence's deepest group to
     the left ends where it parts from its neighbours there.  The bytes to the left are sorted once; neighbours in an
     interval share the least of the common prefixes between them, by a sparse table of minima.
     """
@@ -221,11 +221,12 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, mer: int) -> It
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(a, sizes)), pa.array(np.repeat(b, sizes)), pa.array(np.concatenate(hashes)), pa.array(np.concatenate(counts).astype(np.int32))], names=["a", "b", "hash", "n"])
 
 
-def _context_rows(batches: Iterator[pa.RecordBatch], length: int, mer: int, salts: int) -> Iterator[pa.RecordBatch]:
+def _context_rows(batches: Iterator[pa.RecordBatch], length: int, mer: int, salts: int, every: bool = False) -> Iterator[pa.RecordBatch]:
     """Of (a, b, text, few, many): the bytes around each anchor of these hashes.
 
     Occurrences of one text with the same bytes around are sent once; what they
-    cover is repeated for sure and goes along as rows without bytes.  With
+    cover is repeated for sure and goes along as rows without bytes; with
+    ``every`` all are sent as they are.  With
     ``salts`` the bytes are those around the hot anchors ``many`` instead, dealt
     out by ``salt``, and nothing else.
     """
@@ -244,7 +245,7 @@ def _context_rows(batches: Iterator[pa.RecordBatch], length: int, mer: int, salt
             lo, hi = [], []
             for p, x, y in zip(at, h, hot, strict=True):
                 around = (text[p : p + length], back[n - p : n - p + reach])
-                first = seen.get(around)
+                first = None if every else seen.get(around)
                 if first is None:
                     seen[around] = [p]
                     if y != bool(salts):
@@ -449,7 +450,11 @@ class Repeats:
     """Repeats of a table's whole texts, as bytes of UTF-8; null counts as empty.
 
     ``texts``: the distinct texts ``(a, b, text)``, keyed by 128 bits of their
-    SHA-256.  Matches never cross texts.
+    SHA-256.  Matches never cross texts.  Repeated rows are equal texts, so all
+    their bytes are repeated if there are ``length`` of them.  Texts of any length are taken
+    whole; a text of many anchors is one row until its contexts are dealt.
+    Other columns take no part, whatever their names; an empty table gives
+    empty results.
     """
 
     def __init__(self, docs: DataFrame, text_col: str = "text", length: int = LENGTH, mer: int = MER, group: int = GROUP):
@@ -474,23 +479,24 @@ class Repeats:
         own = hits.groupBy("a", "b").agg(F.collect_set(F.when(F.col("total") <= group, F.col("hash"))).alias("few"), F.collect_set(F.when(F.col("total") > group, F.col("hash"))).alias("many"))
         self.around = self.texts.join(own, ["a", "b"])
 
-    def _contexts(self, hot: bool = False) -> DataFrame:
+    def _contexts(self, hot: bool = False, every: bool = False) -> DataFrame:
         """Context rows, dealt by anchor; those of hot anchors by salt too."""
         length, mer, salts = self.length, self.mer, self.salts if hot else 0
         texts = self.around.where(F.size("many") > 0) if hot else self.around
-        rows = texts.select("a", "b", "text", "few", "many").mapInArrow(lambda x: _context_rows(x, length, mer, salts), "hash long, right binary, left binary, a long, b long, lo long, hi long, salt int")
+        rows = texts.select("a", "b", "text", "few", "many").mapInArrow(lambda x: _context_rows(x, length, mer, salts, every), "hash long, right binary, left binary, a long, b long, lo long, hi long, salt int")
         return rows.repartition(self.tasks, "hash", "salt") if hot else rows.repartition("hash", "salt")
 
     def _sorted(self, groups: bool, schema: str) -> DataFrame:
         length, mer = self.length, self.mer
-        return self._contexts().sortWithinPartitions("hash", "right").mapInArrow(lambda x: _scan(x, length, mer, groups), schema)
+        return self._contexts(every=groups).sortWithinPartitions("hash", "right").mapInArrow(lambda x: _scan(x, length, mer, groups), schema)
 
     def groups(self) -> DataFrame:
         """``(repeat, a, b, start, length)``: maximal repeats as seen from each anchor, a row for each occurrence; ``repeat`` names the string.
 
-        Strings reach as far as the bytes kept around an anchor.  Repeats within
-        one text whose surroundings are equal as far, and those of anchors
-        above the group bound, are in :meth:`spans` alone.
+        All occurrences are there, also those within one text.  Strings reach
+        as far as the bytes kept around an anchor: longer ones come in pieces,
+        one from each anchor.  Repeats of anchors above the group bound are in
+        :meth:`spans` alone.
         """
         return self._sorted(True, "repeat string, a long, b long, start long, length long").distinct()
 

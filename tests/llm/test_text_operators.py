@@ -235,7 +235,49 @@ def test_repeat_groups_have_all_occurrences(spark):
     passage = "the quick brown fox jumps over the lazy dog and goes on running " * 5
     found = suffix_dedup.Repeats(docs(spark, [f"{i} left {passage} right {i}" for i in range(4)])).groups()
     sizes = {r["count"] for r in found.groupBy("repeat", "length").count().collect()}
-    assert 4 in sizes and found.agg(F.min("length")).first()[0] >= 200
+    assert max(sizes) >= 4 and found.agg(F.min("length")).first()[0] >= 200
+
+
+def test_repeat_groups_are_maximal_and_whole(spark):
+    """Against all places of each string: within the context kept, no occurrence is missing and none can be longer on either side."""
+    r = random.Random(12)
+    rnd = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    shared = [rnd(n) for n in (210, 230, 260)]
+    texts = ["".join(rnd(r.randint(0, 120)) + r.choice(shared) for _ in range(r.randint(1, 3))) for _ in range(12)]
+    texts += [shared[0] + "x" + shared[0] + "y" + shared[0]]
+    raw = sorted({t.encode() for t in texts})
+    key = {(int.from_bytes(hashlib.sha256(t).digest()[:8], "big", signed=True)): t for t in raw}
+    groups = defaultdict(set)
+    for x in suffix_dedup.Repeats(docs(spark, texts)).groups().collect():
+        groups[x.repeat, x.length].add((x.a, x.start))
+    assert len(groups) > 3
+    covered = defaultdict(set)
+    for (name, n), places in groups.items():
+        strings = {key[a][s : s + n] for a, s in places}
+        assert len(strings) == 1 and len(places) > 1 and hashlib.sha256(min(strings)).hexdigest() == name
+        (text,) = strings
+        everywhere = {(a, i) for a, t in key.items() for i in range(len(t) - n + 1) if t[i : i + n] == text}
+        assert places == everywhere
+        for a, s in places:
+            covered[a].update(range(s, s + n))
+    for (_, removed, _, _), t in zip(repeated([t.decode() for t in raw], 200), raw, strict=True):
+        a = int.from_bytes(hashlib.sha256(t).digest()[:8], "big", signed=True)
+        assert len(covered[a]) == removed
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_extents_fold_the_maximal_groups(seed):
+    r = random.Random(seed)
+    strings = ["".join(r.choice("ab") for _ in range(12)) for _ in range(5)]
+    rows = sorted((((r.choice(strings) + r.choice(strings))[: r.randint(4, 20)]).encode(), r.choice(strings)[: r.randint(0, 12)].encode()) for _ in range(40))
+    right, left = [x for x, _ in rows], [y for _, y in rows]
+    lcp = [suffix_dedup.common(x, y) for x, y in zip(right, right[1:], strict=False)]
+    for length in (6, 12, 18):
+        reach = np.zeros((2, 40), np.int64)
+        for l, k, members in suffix_dedup.repeat_groups(right, left, lcp, length):  # noqa: E741
+            reach[0, members], reach[1, members] = np.maximum(reach[0, members], l), np.maximum(reach[1, members], k)
+        outer, inner = suffix_dedup.extents(lcp, left, length)
+        assert (np.stack([outer, inner]) == reach).all()
 
 
 def test_toxicity_and_quality():
