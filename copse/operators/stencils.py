@@ -41,20 +41,24 @@ def disk(radius: int) -> list[tuple[int, int]]:
     return [(a, b) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1) if a * a + b * b <= radius * radius]
 
 
-def _morph(px: DataFrame, value: str, offsets: list[tuple[int, int]], grow: bool, out: str) -> DataFrame:
-    """Any (grow) or all of a boolean over offsets; pixels outside do not count."""
-    table = F.explode(F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in offsets]))
-    moved = px.select("plot_id", F.col(value).alias("_m"), "row", "col", table.alias("o"))
-    moved = moved.select("plot_id", (F.col("row") + F.col("o.dr")).alias("row"), (F.col("col") + F.col("o.dc")).alias("col"), "_m")
-    agg = moved.groupBy(*KEY).agg((F.bool_or if grow else F.bool_and)("_m").alias(out))
-    return px.join(agg, KEY)
+def _morph(px: DataFrame, value: str, radius: int, grow: bool, out: str) -> DataFrame:
+    """Any (grow) or all of a boolean over a disk; pixels outside do not count.
+
+    A disk is a stack of lines: extremes along rows for each half-width, then the lines above and below.
+    """
+    f, pick = (F.max, F.greatest) if grow else (F.min, F.least)
+    widths = {d: max(b for a, b in disk(radius) if a == d) for d in range(radius + 1)}
+    df = px.withColumns({f"_w{w}": f(F.col(value).cast("int")).over(line("col", w, w)) for w in set(widths.values())})
+    down = Window.partitionBy("plot_id", "col").orderBy("row")
+    lines = [F.col(f"_w{widths[0]}"), *[shift(f"_w{w}", d).over(down) for d, w in widths.items() if d for shift in (F.lag, F.lead)]]
+    made = pick(*lines) if len(lines) > 1 else lines[0]
+    return df.withColumn(out, made == 1).drop(*[f"_w{w}" for w in set(widths.values())])
 
 
 def closing(px: DataFrame, value: str, radius: int, out: str) -> DataFrame:
     """Binary closing with a disk: growth, then shrinkage."""
-    offsets = disk(radius)
-    grown = _morph(px, value, offsets, True, "_grown")
-    return _morph(grown, "_grown", offsets, False, out).drop("_grown")
+    grown = _morph(px, value, radius, True, "_grown")
+    return _morph(grown, "_grown", radius, False, out).drop("_grown")
 
 
 def gauss(sigma: float, order: int = 0, truncate: float = 4.0) -> list[tuple[int, float]]:

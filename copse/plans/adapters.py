@@ -91,7 +91,8 @@ LABELS = """a_labels AS (SELECT p.plot_id, p."row", p.col, p.z, t.tree_id FROM a
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, c = F.col("row"), F.col("col")
     t = trees(spark, sf_dir).groupBy("plot_id").agg(F.collect_list(F.struct("row", "col", "tree_id")).alias("tops"))  # 12 trees a plot at most
-    near = F.array_min(F.transform("tops", lambda x: F.struct(((r - x.row) * (r - x.row) + (c - x.col) * (c - x.col)).alias("d"), x.tree_id.alias("tree_id"))))
+    tops = [F.get("tops", F.lit(i)) for i in range(12)]
+    near = F.array_min(F.array(*[F.when(x.isNotNull(), F.struct(((r - x.row) * (r - x.row) + (c - x.col) * (c - x.col)).alias("d"), x.tree_id.alias("tree_id"))) for x in tops]))
     px = pixels(spark, sf_dir).where("z > 3.5").join(t, "plot_id")
     return px.select("plot_id", "row", "col", "z", near.tree_id.alias("tree_id"), F.lit(40).cast("long").alias("height"), F.lit(40).cast("long").alias("width"))
 
