@@ -28,6 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -335,10 +336,10 @@ def _scan(batches: Iterator[pa.RecordBatch], length: int, mer: int, groups: bool
             yield from _grouped(x, length, mer, groups)
 
     for batch in batches:
-        known = batch.filter(pa.compute.is_valid(batch.column(6)))
+        known = batch.filter(pc.is_valid(batch.column(6)))
         if known.num_rows and not groups:
             yield pa.RecordBatch.from_arrays([known.column(i) for i in (3, 4, 5, 6)], schema=_SPAN)
-        batch = batch.filter(pa.compute.is_null(batch.column(6)))
+        batch = batch.filter(pc.is_null(batch.column(6)))
         if not batch.num_rows:
             continue
         h = batch.column(0).to_numpy()
