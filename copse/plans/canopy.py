@@ -19,9 +19,10 @@ _COVER = ", ".join(f"count(*) FILTER (z >= {t}) / count(z) AS canopy_cover_gt{t}
 
 
 def _std(k: int) -> str:
-    """Local deviation at each pixel: clamped neighbours, joined by offset."""
-    return f"""(SELECT a.plot_id, a."row", a.col, a.z, sqrt(greatest(avg(b.y * b.y) - avg(b.y) * avg(b.y), 0)) AS s FROM f a CROSS JOIN range(-{k}, {k + 1}) dr CROSS JOIN range(-{k}, {k + 1}) dc
-  JOIN f b ON b.plot_id = a.plot_id AND b."row" = least(greatest(a."row" + dr.range, 0), 39) AND b.col = least(greatest(a.col + dc.range, 0), 39) GROUP BY a.plot_id, a."row", a.col, a.z)"""
+    """Local deviation at each pixel: clamped neighbours along columns, then along rows."""
+    return f"""(SELECT a.plot_id, a."row", a.col, a.z, sqrt(greatest(avg(b.q) - avg(b.m) * avg(b.m), 0)) AS s FROM f a CROSS JOIN range(-{k}, {k + 1}) dc
+  JOIN (SELECT a.plot_id, a."row", a.col, avg(b.y) AS m, avg(b.y * b.y) AS q FROM f a CROSS JOIN range(-{k}, {k + 1}) dr JOIN f b ON b.plot_id = a.plot_id AND b.col = a.col AND b."row" = least(greatest(a."row" + dr.range, 0), 39) GROUP BY ALL) b
+  ON b.plot_id = a.plot_id AND b."row" = a."row" AND b.col = least(greatest(a.col + dc.range, 0), 39) GROUP BY a.plot_id, a."row", a.col, a.z)"""
 
 
 def _gap(t: int) -> str:
