@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import stencils
-from .components import components, plotwise, rasters
+from .components import label, plotwise, with_raster
 
 # Thresholds of the masks.
 MASK_MIN_H, CLOSE_PX, MIN_CANOPY_M2 = 3.5, 3, 16.0
@@ -28,12 +28,17 @@ def height_mask(px: DataFrame, out: str = "height", least: float = MASK_MIN_H) -
     return stencils.closing(df, "_tall", CLOSE_PX, out).drop("_tall")
 
 
+def large(mask: np.ndarray, pixel: float, area: float = MIN_CANOPY_M2) -> np.ndarray:
+    """Pixels of a raster's components (4 neighbours) of the area or more."""
+    lab = label(mask)
+    size = np.bincount(lab.ravel())
+    return (size[lab] >= max(1, half_even(area / (pixel * pixel)))) & (lab > 0)
+
+
 def canopy_mask(px: DataFrame, pixel: float, out: str = "canopy", least: float = MASK_MIN_H, area: float = MIN_CANOPY_M2) -> DataFrame:
-    """Adds a boolean: in a closed canopy component (4 neighbours) of the area or more."""
-    df = stencils.closing(px.withColumn("_tall", F.col("z") >= least), "_tall", CLOSE_PX, "_closed").drop("_tall")
-    need = max(1, half_even(area / (pixel * pixel)))
-    big = components(df, "_closed").where(F.col("size") >= need).select("plot_id", "row", "col", F.lit(True).alias("_big"))
-    return df.drop("_closed").join(big, stencils.KEY, "left").withColumn(out, F.coalesce("_big", F.lit(False))).drop("_big")
+    """Adds a boolean: in a closed canopy component (4 neighbours) of the area or more; a plot is one task's unit."""
+    df = px.withColumn("_tall", F.col("z") >= least)
+    return with_raster(df, ["_tall"], lambda m: large(stencils.closed(m > 0, CLOSE_PX), pixel, area), out, "boolean").drop("_tall")
 
 
 def roughness_mask(px: DataFrame, pixel: float, out: str = "rough", metres: float = ROUGH_M, least: float = ROUGH_STD) -> DataFrame:
@@ -43,10 +48,23 @@ def roughness_mask(px: DataFrame, pixel: float, out: str = "rough", metres: floa
     return df.withColumn(out, F.col("_k_std") >= least).drop("_k_mean", "_k_std")
 
 
+def rough(z: np.ndarray, pixel: float, metres: float = ROUGH_M, least: float = ROUGH_STD) -> np.ndarray:
+    """The roughness mask of one raster."""
+    k = max(1, half_even(metres / pixel))
+    box = [(d, 1.0 / k) for d in range(-(k // 2), k - k // 2)]
+    mean, square = (stencils.convolve(v, box, box, False) for v in (z, z * z))
+    return ~(np.sqrt(np.maximum(square - mean * mean, 0.0)) < least)
+
+
+def intersection(high: np.ndarray, tall: np.ndarray, z: np.ndarray, pixel: float) -> np.ndarray:
+    """All masks of one raster: ``high`` is above the least height, ``tall`` at it or above."""
+    return stencils.closed(high, CLOSE_PX) & large(stencils.closed(tall, CLOSE_PX), pixel) & rough(z, pixel)
+
+
 def mask_intersection(px: DataFrame, pixel: float, out: str = "mask") -> DataFrame:
-    """Adds a boolean: tall, in a large canopy, and rough."""
-    df = roughness_mask(canopy_mask(height_mask(px), pixel), pixel)
-    return df.withColumn(out, F.col("height") & F.col("canopy") & F.col("rough")).drop("height", "canopy", "rough")
+    """Adds a boolean: tall, in a large canopy, and rough; a plot is one task's unit, as components need it whole."""
+    df = px.withColumns({"_high": F.col("z") > MASK_MIN_H, "_tall": F.col("z") >= MASK_MIN_H})
+    return with_raster(df, ["_high", "_tall", "z"], lambda a, b, z: intersection(a > 0, b > 0, z, pixel), out, "boolean").drop("_high", "_tall")
 
 
 def quick_stats(px: DataFrame, value: str = "z", mask: Column | None = None) -> DataFrame:
@@ -98,19 +116,18 @@ def equalise(values: np.ndarray) -> np.ndarray:
     return (flat - low) / (high - low) if high > low else np.zeros(n)
 
 
+def equalised_under(z: np.ndarray, under: np.ndarray) -> np.ndarray:
+    """One raster equalised under its mask, in raster order, back on its own range; without a mask or a range it stays as it is."""
+    z, own = z.copy(), z[under]
+    if own.size and own.max() - own.min() >= 1e-6:
+        z[under] = equalise((own - own.min()) / (own.max() - own.min())) * (own.max() - own.min()) + own.min()
+    return z
+
+
 def equalised(px: DataFrame, mask: str = "mask", out: str = "z") -> DataFrame:
     """``z`` equalised under the mask, in raster order, back on its own range; plots without a mask or a range stay as they are."""
-
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        z, m = rasters(frame, "z", "m")
-        under = np.nan_to_num(m) > 0
-        own = z[under]
-        if own.size and own.max() - own.min() >= 1e-6:
-            z[under] = equalise((own - own.min()) / (own.max() - own.min())) * (own.max() - own.min()) + own.min()
-        return pd.DataFrame({"plot_id": key[0], "row": frame["row"], "col": frame["col"], "_eq": z[frame["row"], frame["col"]]})
-
-    made = plotwise(px.selectExpr("plot_id", "row", "col", "z", f"CAST({mask} AS DOUBLE) AS m"), run, "plot_id long, row long, col long, _eq double")
-    return px.join(made, stencils.KEY).withColumn(out, F.col("_eq")).drop("_eq")
+    made = with_raster(px.withColumn("z", F.col("z").cast("double")), ["z", mask], lambda z, m: equalised_under(z, np.nan_to_num(m) > 0), out, "double")
+    return made.select(*px.columns, *[c for c in made.columns if c not in px.columns])
 
 
 def outline(mask: np.ndarray) -> list[list[list[tuple[int, int]]]]:

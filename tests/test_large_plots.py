@@ -31,3 +31,9 @@ def test_pixels_are_made_by_many_tasks(spark, parts):
     px = adapters.pixels(spark, parts)
     assert px.count() == 250 * 1600 and px.select(F.spark_partition_id()).distinct().count() > 1
     assert run("quick_stats", spark, parts).count() == 250
+
+
+@pytest.mark.parametrize("name", ["canopy_mask", "mask_intersection", "clahe"])
+def test_no_raster_goes_to_the_driver(spark, parts, name):
+    """Pixels were joined to what a kernel had made of them, and their few estimated bytes were broadcast."""
+    assert "Broadcast" not in plan(run(name, spark, parts))
