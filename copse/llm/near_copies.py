@@ -1,13 +1,15 @@
-"""Near copies by Jaccard similarity of word shingles.
-
-Candidates are texts that share a band: of ``BANDS`` x ``ROWS`` minima of the
-shingles' hashes, ``ROWS`` agree.  At similarity 0.8 a pair shares none of the
-32 bands of 5 with a probability of 3 in a million, and less above.  Every link
-rests on the exact similarity of the two sets of 64-bit shingle hashes.
-
-SimHash does not serve here: at 0.8 about 10 of 64 bits differ, and keys for
-so wide a distance would hold a few bits each.
-
+"""Near copies by SimHash, and by Jaccard similarity of word shingles.
+
+First come the links of :mod:`simhash` (fingerprints of the same shingles,
+pigeonring chains), each checked by the exact similarity of the two texts'
+sets of 64-bit shingle hashes.  At a similarity of 0.8 about 10 of 64 bits
+differ, and keys for so wide a distance would hold a few bits each; what the
+fingerprints miss comes from bands: texts that share one of ``BANDS`` x
+``ROWS`` minima of the shingles' hashes (``ROWS`` agree).  At similarity 0.8 a
+pair shares none of the 32 bands of 5 with a probability of 3 in a million,
+and less above.  Every link rests on the exact similarity.
+
+Of the bands' pairs only those are read whose texts SimHash has not linked.
 First all texts of a band's key are compared with the least of them, so that a
 large group of near copies makes one pair a text and key.  Then, where texts of
 a key are still in different components, the task that holds the key compares
@@ -25,10 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import simhash
 from .common import cut
 from .graph import components
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
+#: Differing bits of fingerprints that are linked.
+DISTANCE = 3
 BANDS, ROWS = 32, 5
 #: Pairs whose minima agree less are not compared exactly: six standard deviations below ``SIMILARITY``.
 SLACK = 0.2
@@ -178,13 +183,29 @@ def _linked(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa
         yield out(done())
 
 
-def links(docs: DataFrame, rows: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """``(a, b)``: edges whose components are those of all links among the texts of ``rows``, the sketches of ``docs``."""
+def simhash_links(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, distance: int = DISTANCE) -> DataFrame:
+    """``(a, b)``: links of texts (by hash) whose fingerprints differ in ``distance`` bits at most and that are similar.
+
+    A fingerprint stands for all texts that have it by their least hash.
+    """
+    texts = cut(simhash.fingerprints(docs, id_col, text_col, shingle).select("h", "fp").distinct())
+    nodes = cut(texts.groupBy("fp").agg(F.min("h").alias("own")))
+    equal = texts.join(nodes, "fp").where("h <> own").select(F.col("h").alias("a"), F.col("own").alias("b"))
+    ends = lambda k: nodes.select(F.col("fp").alias(k), F.col("own").alias(f"{k}_own"))
+    apart = simhash.links(nodes.select("fp"), distance).join(ends("a"), "a").join(ends("b"), "b").select(F.col("a_own").alias("a"), F.col("b_own").alias("b"))
+    return cut(verified(docs, cut(equal.unionByName(apart)), text_col, shingle, similarity))
+
+
+def links(docs: DataFrame, rows: DataFrame, text_col: str, shingle: int, similarity: float, known: DataFrame) -> DataFrame:
+    """``(a, b)``: edges whose components are those of all links among the texts of ``rows``, the sketches of ``docs``; ``known`` are some of them."""
     keys = rows.select("h", F.posexplode("bands").alias("band", "key"))
     hubs = keys.groupBy("band", "key").agg(F.min("h").alias("hub"), F.max("h").alias("last")).where("hub < last").drop("last")
     shared = cut(keys.join(hubs, ["band", "key"]))
-    stars = cut(shared.where("h <> hub").select(F.col("h").alias("a"), F.col("hub").alias("b")).distinct())
-    near = cut(verified(docs, stars, text_col, shingle, similarity))
+    stars = shared.where("h <> hub").select(F.col("h").alias("a"), F.col("hub").alias("b")).distinct()
+    found = cut(components(known))
+    root = lambda k: found.select(F.col("node").alias(k), F.col("root").alias(f"{k}_root"))
+    stars = stars.join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
+    near = cut(known.unionByName(verified(docs, cut(stars.select("a", "b")), text_col, shingle, similarity)))
     roots = components(near)
     placed = shared.join(roots, F.col("h") == F.col("node"), "left").select("band", "key", "h", F.coalesce("root", "h").alias("root"))
     mixed = placed.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").drop("low", "high")
@@ -206,7 +227,8 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = cut(sketches(docs, id_col, text_col, shingle))
     key = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("h").alias("h"))
     nodes = cut(rows.groupBy("h").agg(F.min(key).alias("own")))
-    roots = components(links(docs, rows, text_col, shingle, similarity))
+    known = simhash_links(docs, id_col, text_col, shingle, similarity)
+    roots = components(links(docs, rows, text_col, shingle, similarity, known))
     grouped = nodes.join(roots, F.col("h") == F.col("node"), "left").select(F.col("h").alias("of"), "own", F.coalesce("root", "h").alias("root"))
     least = grouped.groupBy("root").agg(F.min("own").alias("least"))
     of = grouped.join(least, "root").select("of", "least")
