@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import stencils
-from .components import label, plotwise, with_raster
+from .components import label, plotwise, refuse_large, with_raster
 
 # Thresholds of the masks.
 MASK_MIN_H, CLOSE_PX, MIN_CANOPY_M2 = 3.5, 3, 16.0
@@ -130,6 +131,18 @@ def equalised(px: DataFrame, mask: str = "mask", out: str = "z") -> DataFrame:
     return made.select(*px.columns, *[c for c in made.columns if c not in px.columns])
 
 
+def equalised_rasters(rasters: DataFrame, least: float) -> DataFrame:
+    """As ``equalised``, of whole rasters (plot_id, z: an array in raster order) under their pixels above ``least``; no pixel is sent between tasks."""
+
+    def run(plots: pa.Array, z: pa.Array) -> pa.Array:
+        refuse_large(plots, z)
+        at, v = z.offsets.to_numpy(), z.values.cast(pa.float64()).fill_null(np.nan).to_numpy()
+        made = [equalised_under(own, own > least) for own in (v[a:b] for a, b in zip(at, at[1:], strict=False))]
+        return pa.ListArray.from_arrays(pa.array(at - at[0], pa.int32()), pa.array(np.concatenate([v[:0], *made])))
+
+    return rasters.withColumn("z", F.arrow_udf(run, "array<double>")("plot_id", "z"))
+
+
 def outline(mask: np.ndarray) -> list[list[list[tuple[int, int]]]]:
     """Polygons of a boolean raster, 8-connected: each a list of rings of pixel corners (col, row), the outer first.
 
