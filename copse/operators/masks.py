@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -143,80 +144,114 @@ def equalised_rasters(rasters: DataFrame, least: float) -> DataFrame:
     return rasters.withColumn("z", F.arrow_udf(run, "array<double>")("plot_id", "z"))
 
 
-def outline(mask: np.ndarray) -> list[list[list[tuple[int, int]]]]:
-    """Polygons of a boolean raster, 8-connected: each a list of rings of pixel corners (col, row), the outer first.
+def outlines(labels: np.ndarray) -> list[tuple[int, int, list[list[tuple[int, int]]]]]:
+    """``(raster, label, rings)`` of each polygon of a stack of label rasters (0: outside), 8-connected: rings of pixel corners (col, row), the outer first.
 
     Each pixel side between inside and outside is an edge with the inside on its
-    right; edges are chained, at a corner where two pieces touch by the turn
-    that keeps them together.
+    right; at a corner where two pieces touch, edges go on to the left, which
+    keeps them together.  A ring begins at its topmost corner, the leftmost of
+    these, where an outer one goes east and a hole's south.
     """
-    h, w = mask.shape
-    wide = np.pad(mask, 1)
-    nexts: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for r, c in zip(*np.nonzero(mask), strict=True):
-        r, c = int(r), int(c)
-        for there, a, b in ((wide[r, c + 1], (c, r), (c + 1, r)), (wide[r + 1, c + 2], (c + 1, r), (c + 1, r + 1)), (wide[r + 2, c + 1], (c + 1, r + 1), (c, r + 1)), (wide[r + 1, c], (c, r + 1), (c, r))):
-            if not there:
-                nexts.setdefault(a, []).append(b)
-    rings: list[list[tuple[int, int]]] = []
-    while nexts:
-        first = min(nexts, key=lambda p: (p[1], p[0]))
-        ring, here, way = [first], first, (1, 0)
-        while True:
-            ends = nexts[here]
-            turn = lambda e: -((e[0] - here[0]) * way[1] - (e[1] - here[1]) * way[0])  # noqa: B023, E731
-            end = min(ends, key=turn)  # to the left, so that diagonal neighbours share a ring
-            ends.remove(end)
-            if not ends:
-                del nexts[here]
-            way, here = (end[0] - here[0], end[1] - here[1]), end
-            if here == first:
-                break
-            ring.append(here)
-        rings.append(ring)
+    _, h, w = labels.shape
+    flat = np.pad(labels, ((0, 0), (1, 1), (1, 1))).ravel()
+    step, at = (1, w + 2, -1, -w - 2), np.flatnonzero(flat)  # east over a pixel, south right of it, west below, north left of it
+    edges, nexts = [], []
+    for way in range(4):
+        ahead, left = step[way], step[way - 1]
+        p = at[flat[at + left] != flat[at]]
+        edges.append(p * 4 + way)
+        nexts.append(np.select([flat[p + left + ahead] == flat[p], flat[p + ahead] == flat[p]], [(p + left + ahead) * 4 + (way - 1) % 4, (p + ahead) * 4 + way], p * 4 + (way + 1) % 4))
+    edge = np.concatenate(edges)
+    pixel, way = edge // 4, edge % 4
+    of, own = pixel // ((h + 2) * (w + 2)), flat[pixel]
+    x, y = pixel % (w + 2) - 1 + ((way == 1) | (way == 2)), pixel // (w + 2) % (h + 2) - 1 + (way > 1)
+    order, by_edge = np.lexsort((x, y, own, of)), np.argsort(edge)
+    place = np.empty(len(edge), np.int64)
+    place[order] = np.arange(len(edge))
+    after = place[by_edge[np.searchsorted(edge, np.concatenate(nexts), sorter=by_edge)]][order].tolist()
+    of, own, x, y, way = (v[order].tolist() for v in (of, own, x, y, way))
+    seen, out, holes = bytearray(len(edge)), [], []
+    for start in range(len(edge)):
+        if seen[start]:
+            continue
+        ring, i, last = [], start, -1
+        while not seen[i]:
+            seen[i] = 1
+            if way[i] != last:
+                ring.append((x[i], y[i]))
+                last = way[i]
+            i = after[i]
+        ring.append(ring[0])
+        (holes if way[start] else out).append((of[start], own[start], [ring]))
 
     def area(ring: list[tuple[int, int]]) -> float:
-        return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, [*ring[1:], ring[0]], strict=True)) / 2
-
-    def corners(ring: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        n = len(ring)
-        kept = [p for i, p in enumerate(ring) if (p[0] - ring[i - 1][0]) * (ring[(i + 1) % n][1] - p[1]) != (p[1] - ring[i - 1][1]) * (ring[(i + 1) % n][0] - p[0])]
-        return [*kept, kept[0]]
+        return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:], strict=False)) / 2
 
     def within(p: tuple[float, float], ring: list[tuple[int, int]]) -> bool:
         hit = False
-        for a, b in zip(ring, [*ring[1:], ring[0]], strict=True):
+        for a, b in zip(ring, ring[1:], strict=False):
             if (a[1] > p[1]) != (b[1] > p[1]) and p[0] < a[0] + (p[1] - a[1]) * (b[0] - a[0]) / (b[1] - a[1]):
                 hit = not hit
         return hit
 
-    outer = [r for r in rings if area(r) > 0]
-    out = [[corners(r)] for r in outer]
-    for hole in (r for r in rings if area(r) < 0):
-        (x0, y0), (x1, y1) = hole[0], hole[1]
-        side = ((x0 + x1) / 2 - (y1 - y0) * 0.25, (y0 + y1) / 2 + (x1 - x0) * 0.25)  # just inside the pixel to the right of the edge
-        homes = [i for i, r in enumerate(outer) if within(side, r)]
-        out[min(homes, key=lambda i: area(outer[i]))].append(corners(hole))
+    outer: dict[tuple[int, int], list] = {}
+    for k, own_, rings in out if holes else ():
+        outer.setdefault((k, own_), []).append((area(rings[0]), rings[0], rings))
+    for k, own_, (hole,) in holes:
+        side = (hole[0][0] - 0.25, hole[0][1] + 0.5)  # just inside the pixel to the right of the first edge
+        min((o for o in outer[k, own_] if within(side, o[1])), key=lambda o: o[0])[2].append(hole)
     return out
 
 
+def outline(mask: np.ndarray) -> list[list[list[tuple[int, int]]]]:
+    """Polygons of a boolean raster, 8-connected: each a list of rings of pixel corners (col, row), the outer first."""
+    return [rings for _, _, rings in outlines(np.asarray(mask, np.int8)[None])]
+
+
+def _wkt(rings: list[list[tuple[int, int]]], transform: tuple[float, ...], row: int = 0, col: int = 0) -> str:
+    a, b, c, d, e, f = transform
+    at = lambda p: f"{c + (p[0] + col) * a + (p[1] + row) * b!r} {f + (p[0] + col) * d + (p[1] + row) * e!r}"
+    return "POLYGON (" + ", ".join("(" + ", ".join(map(at, ring)) + ")" for ring in rings) + ")"
+
+
 def crown_polygons(labels: DataFrame, transform: tuple[float, float, float, float, float, float]) -> DataFrame:
     """``(plot_id, tree_id, part, wkt)``: outlines of labelled pixels (8 neighbours) in the raster's system.
 
     ``transform``: x = c + col a + row b and y = f + col d + row e, as (a, b, c, d, e, f).
     """
-    a, b, c, d, e, f = transform
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         found = []
         for tree, own in frame.groupby("tree_id"):
-            r0, c0 = own["row"].min(), own["col"].min()
-            m = np.zeros((own["row"].max() - r0 + 1, own["col"].max() - c0 + 1), bool)
+            r0, c0 = int(own["row"].min()), int(own["col"].min())
+            m = np.zeros((int(own["row"].max()) - r0 + 1, int(own["col"].max()) - c0 + 1), bool)
             m[own["row"] - r0, own["col"] - c0] = True
-            for part, rings in enumerate(outline(m)):
-                at = lambda p: f"{c + (p[0] + c0) * a + (p[1] + r0) * b!r} {f + (p[0] + c0) * d + (p[1] + r0) * e!r}"  # noqa: B023, E731
-                text = ", ".join("(" + ", ".join(map(at, ring)) + ")" for ring in rings)
-                found.append((key[0], tree, part, f"POLYGON ({text})"))
+            found += [(key[0], tree, part, _wkt(rings, transform, r0, c0)) for part, rings in enumerate(outline(m))]
         return pd.DataFrame(found, columns=["plot_id", "tree_id", "part", "wkt"])
 
     return plotwise(labels.select("plot_id", "row", "col", "tree_id"), run, "plot_id long, tree_id long, part int, wkt string")
+
+
+def raster_polygons(rasters: DataFrame, transform: tuple[float, float, float, float, float, float]) -> DataFrame:
+    """As ``crown_polygons``, of whole label rasters (plot_id, width, tree_id: an array in raster order, null outside); no pixel is sent between tasks."""
+
+    def run(plots: pa.Array, widths: pa.Array, trees: pa.Array) -> pa.Array:
+        refuse_large(plots, trees)
+        at, size, w = trees.offsets.to_numpy(), trees.value_lengths().to_numpy(), widths.to_numpy()
+        own = pa.compute.dictionary_encode(trees.values)
+        names, flat = own.dictionary.to_pylist(), own.indices.fill_null(-1).to_numpy()
+        order = np.argsort(names)
+        ranks = np.zeros(len(names) + 1, np.int32)  # the last is of pixels outside
+        ranks[order] = np.arange(1, len(names) + 1)
+        found: list[list[tuple]] = [[] for _ in size]
+        for n, wide in set(zip(size.tolist(), w.tolist(), strict=True)):
+            same = np.flatnonzero((size == n) & (w == wide))
+            before = None
+            for k, rank, rings in outlines(ranks[flat[at[same, None] + np.arange(n)]].reshape(len(same), -1, wide)):
+                part = part + 1 if before == (k, rank) else 0  # noqa: F821
+                before = k, rank
+                found[same[k]].append({"tree_id": names[order[rank - 1]], "part": part, "wkt": _wkt(rings, transform)})
+        return pa.array(found, pa.list_(pa.struct([("tree_id", pa.int64()), ("part", pa.int32()), ("wkt", pa.string())])))
+
+    made = F.arrow_udf(run, "array<struct<tree_id: bigint, part: int, wkt: string>>")("plot_id", "width", "tree_id")
+    return rasters.select("plot_id", F.explode(made).alias("p")).select("plot_id", "p.tree_id", "p.part", "p.wkt")
