@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 
 from . import simhash
 from .common import cut
+from .exact_dedup import BITS, _bitmap, _hit, _slot
 from .graph import components
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
@@ -93,10 +94,20 @@ def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(x) + len(y) - both) - 1e-9
 
 
+def asked(docs: DataFrame, text_col: str, of: DataFrame) -> DataFrame:
+    """``docs`` with boolean ``__asked``: the hash of the text may be among those of ``of`` (h), by a bitmap of fixed size.
+
+    So texts are not sent to others for the few that are sought.
+    """
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    wanted = _bitmap(of.select(_slot(F.col("h"), bits=BITS).alias("slot")), BITS)
+    return _hit(docs, _slot(F.xxhash64(text), bits=BITS), wanted, "__asked")
+
+
 def sets(docs: DataFrame, of: DataFrame, text_col: str, shingle: int) -> DataFrame:
     """``(h, hashes)``: the shingles of each text whose hash is in ``of`` (h)."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    texts = docs.select(F.xxhash64(text).alias("h"), text.cast("binary").alias("text")).join(of.distinct(), "h", "left_semi").dropDuplicates(["h"])
+    texts = asked(docs, text_col, of).where("__asked").select(F.xxhash64(text).alias("h"), text.cast("binary").alias("text")).join(of.distinct(), "h", "left_semi").dropDuplicates(["h"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,6 +244,9 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = grouped.groupBy("root").agg(F.min("own").alias("least"))
     of = grouped.join(least, "root").select("of", "least")
     gone = rows.join(of, F.col("h") == F.col("of")).where(F.col("least") != key).select(F.col("id").alias("__gone"), F.col("h").alias("__gone_h")).distinct()
+    gone = cut(gone)
+    marked = asked(docs, text_col, gone.select(F.col("__gone_h").alias("h")))
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     same = F.col(f"`{id_col}`").eqNullSafe(F.col("__gone")) & (F.xxhash64(text) == F.col("__gone_h"))
-    return docs.join(gone, same, "left_anti")
+    kept = marked.where("__asked").join(gone, same, "left_anti")
+    return marked.where("not __asked").unionByName(kept).drop("__asked")
