@@ -203,9 +203,12 @@ def clip_windows(pairs: DataFrame, size: float = 2 * HALF) -> DataFrame:
 
 
 def clip_pixels(pixels: DataFrame, windows: DataFrame) -> DataFrame:
-    """``(plot_id, path, row, col, ...)``: pixels (path, row, col, ...) of each window, rows and columns as in the raster."""
+    """``(plot_id, path, row, col, ...)``: pixels (path, row, col, ...) of each window, rows and columns as in the raster.
+
+    Spark may know the size of the pixels badly, as of their tiles, and would send all of them through the driver; so the join is by merge.
+    """
     hit = (F.col("row") >= F.col("row0")) & (F.col("row") < F.col("row1")) & (F.col("col") >= F.col("col0")) & (F.col("col") < F.col("col1"))
-    return pixels.join(windows, "path").where(hit).select("plot_id", *pixels.columns)
+    return pixels.hint("merge").join(windows, "path").where(hit).select("plot_id", *pixels.columns)
 
 
 def mosaic(pixels: DataFrame, order: str = "ord") -> DataFrame:

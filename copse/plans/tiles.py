@@ -125,7 +125,7 @@ ww AS (SELECT plot_id, path, greatest(r0, 0) AS row0, least(r0 + w, height) AS r
 def _windows(spark, sf_dir):
     plots, tiles = _pt(spark, sf_dir)
     r = spark.sql("SELECT * FROM (WITH " + _RASTERS.format(t="{tiles}") + " SELECT * FROM a_rasters)", tiles=tiles)
-    pairs = op.candidates(plots.select("plot_id"), tiles.select("path", "kind")).select("plot_id", "path").join(plots, "plot_id").join(r, "path")
+    pairs = op.candidates(plots.select("plot_id"), tiles.select("path", "kind")).select("plot_id", "path").join(plots.hint("merge"), "plot_id").join(r.hint("merge"), "path")
     return op.clip_windows(pairs)
 
 

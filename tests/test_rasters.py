@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from copse.operators import masks
-from copse.plans import adapters, canopy, trees
+from copse.plans import adapters, canopy, tiles, trees
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -29,6 +29,11 @@ def test_pixels_are_not_dealt_again(spark):
         assert "Exchange" not in plan[: plan.index("ArrowEvalPython")] and "FlatMapGroups" not in plan
 
 
+def test_pixels_are_not_broadcast(spark):
+    plan = tiles.clip_pixels(spark, SMALL)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan.split("\n")[1] and tiles.clip_pixels(spark, SMALL).count() > 0
+
+
 def test_outlines_of_many_labels():
     r = np.random.default_rng(5)
     stack = r.integers(0, 3, (40, 11, 9))
