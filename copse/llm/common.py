@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that separate words: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+#: By operator: drops what its module keeps in a worker from task to task.
+KEPT: dict[str, Callable[[], None]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +50,39 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def give_back(own: str = "") -> None:
+    """Drops what operators other than ``own`` keep in this worker, and returns freed memory to the system.
+
+    Spark's Python workers go from stage to stage, beside a JVM that keeps its heap.
+    """
+    for name, drop in KEPT.items():
+        if name != own:
+            drop()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator], own: str = "") -> Callable[[Iterator], Iterator]:
+    """``run`` over the batches of a task, with :func:`give_back` before and after it."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        give_back(own)
+        try:
+            yield from run(batches)
+        finally:
+            give_back(own)
+
+    return tidied
+
+
+def listed(spark: SparkSession, rows: list[tuple], **columns: pa.DataType) -> DataFrame:
+    """A table of the driver's rows, sent by Arrow: from a list, Spark would start another daemon with workers of its own on each executor."""
+    cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate(columns.values())]
+    return spark.createDataFrame(pa.table(cols, names=list(columns)))
+
+
 def packed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(row, id, text)``: the whole input row as one struct, so that no name of the operator can clash with one of the caller's."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))

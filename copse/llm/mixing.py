@@ -19,11 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, cut, word_count
+from .common import WORD, cut, listed, tidy, word_count
 
 BLOCK_WORDS = 128
 SHARDS = 64
@@ -123,8 +124,8 @@ class Mix:
         ratio = np.array([self.targets[s] / self.sizes[s] if self.sizes[s] else 0.0 for s in order])
         quota = np.minimum(np.rint(ratio * n_blocks), np.floor(cap) * n_blocks).astype(np.int64)
         rows = {r.source: r.n for r in counted}
-        listed = [(i, s, int(self.sizes[s]), float(self.targets[s]), -(-rows[s] // BUCKET_ROWS)) for i, s in enumerate(order)]
-        self.sources = spark.createDataFrame(listed, "sid int, source string, source_size bigint, target double, buckets bigint")
+        known = [(i, s, int(self.sizes[s]), float(self.targets[s]), -(-rows[s] // BUCKET_ROWS)) for i, s in enumerate(order)]
+        self.sources = listed(spark, known, sid=pa.int32(), source=pa.string(), source_size=pa.int64(), target=pa.float64(), buckets=pa.int64())
         self.units = self._placed(units, block_words)
         self.slots = self._slots(spark, quota, n_blocks, shards, seed)
         on = ["sid", "block"]  # both sides grow with the words; their sizes as planned say nothing, as slots are made in executors
@@ -154,7 +155,7 @@ class Mix:
         counts = shard_counts(quota, shards, seed)
         firsts = np.cumsum(counts, axis=0) - counts
         runs = [(int(i), s, int(n_blocks[i]), int(firsts[s, i]), int(counts[s, i])) for s in range(shards) for i in np.flatnonzero(counts[s])]
-        table = spark.createDataFrame(runs, "sid int, shard int, n bigint, k bigint, slots bigint")
+        table = listed(spark, runs, sid=pa.int32(), shard=pa.int32(), n=pa.int64(), k=pa.int64(), slots=pa.int64())
         step = F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(SLOT_RUN).cast("long"))).alias("at")
         table = table.select("sid", "shard", "n", "k", "slots", step).select("sid", "shard", "n", (F.col("k") + F.col("at")).alias("k"), F.least(F.col("slots") - F.col("at"), F.lit(SLOT_RUN)).alias("slots"))
 
@@ -168,7 +169,7 @@ class Mix:
                         block[turn == p] = permuted(k[turn == p] % r.n, int(r.n), hash((seed, int(r.sid), int(p))) & 0x7FFFFFFF)
                     yield pd.DataFrame({"sid": np.int32(r.sid), "shard": np.int32(r.shard), "slot": k, "pass": turn, "block": block})
 
-        return table.repartition(max(1, min(len(runs), 200))).mapInPandas(deal, "sid int, shard int, slot bigint, pass bigint, block bigint")
+        return table.repartition(max(1, min(len(runs), 200))).mapInPandas(tidy(deal), "sid int, shard int, slot bigint, pass bigint, block bigint")
 
     def taken(self) -> DataFrame:
         """A row for each input row: id, size, source_size, target, taken (words, repeats counted)."""

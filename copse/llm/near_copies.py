@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import simhash
-from .common import cut
+from .common import cut, tidy
 from .exact_dedup import BITS, _bitmap, _hit, _slot
 from .graph import components
 
@@ -86,7 +86,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), bands, pa.array(sig, pa.binary())], names=["id", "h", "n", "bands", "sig"])
 
     more = [T.StructField("h", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())]
-    return rows.mapInArrow(run, T.StructType([rows.schema["id"], *more]))
+    return rows.mapInArrow(tidy(run), T.StructType([rows.schema["id"], *more]))
 
 
 def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
@@ -114,7 +114,7 @@ def sets(docs: DataFrame, of: DataFrame, text_col: str, shingle: int) -> DataFra
             hashes = [shingles(t.as_py(), shingle).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.binary())], names=["h", "hashes"])
 
-    return cut(texts.mapInArrow(read, "h long, hashes binary"))
+    return cut(texts.mapInArrow(tidy(read), "h long, hashes binary"))
 
 
 def verified(docs: DataFrame, edges: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
@@ -128,7 +128,7 @@ def verified(docs: DataFrame, edges: DataFrame, text_col: str, shingle: int, sim
 
     read = sets(docs, edges.select(F.col("a").alias("h")).unionByName(edges.select(F.col("b").alias("h"))), text_col, shingle)
     of_a, of_b = read.select(F.col("h").alias("a"), F.col("hashes").alias("x")), read.select(F.col("h").alias("b"), F.col("hashes").alias("y"))
-    return edges.join(of_a, "a").join(of_b, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    return edges.join(of_a, "a").join(of_b, "b").select("a", "b", "x", "y").mapInArrow(tidy(compare), "a long, b long")
 
 
 def _across(rows: np.ndarray, sig: np.ndarray, bands: np.ndarray, hashes: list, similarity: float) -> list[tuple[int, int]]:
@@ -224,7 +224,7 @@ def links(docs: DataFrame, rows: DataFrame, text_col: str, shingle: int, similar
     of = rest.select("h")
     sketch = rows.select("h", "n", "sig", "bands").join(of.distinct(), "h", "left_semi").dropDuplicates(["h"]).join(sets(docs, of, text_col, shingle), "h")
     ordered = rest.join(sketch, "h").select("band", "key", "h", "root", "n", "sig", "bands", "hashes").repartition("band", "key").sortWithinPartitions("band", "key")
-    return near.unionByName(ordered.mapInArrow(lambda batches: _linked(batches, similarity), "a long, b long"))
+    return near.unionByName(ordered.mapInArrow(tidy(lambda batches: _linked(batches, similarity)), "a long, b long"))
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import unpacked
+from .common import KEPT, tidy, unpacked
 
 SPACE = "▁"
 MEMO = 600_000
@@ -177,6 +177,9 @@ def _agenda(model_file: str) -> Agenda:
     return Agenda(model_file)
 
 
+KEPT["sentencepiece"] = _agenda.cache_clear  # its memo stays for the next tasks, until another operator needs the worker
+
+
 def _sha256(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
@@ -224,7 +227,7 @@ def encode_decode(docs: DataFrame, model_file: str, outputs: tuple[str, ...] = (
     names = [c for c in docs.columns if keep is None or c in keep]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{text_col}`").alias("text"))
     schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), *[T.StructField(name, T._parse_datatype_string(OUTPUTS[name][0])) for name in outputs]])
-    return unpacked(rows.mapInArrow(run, schema), **{name: name for name in outputs})
+    return unpacked(rows.mapInArrow(tidy(run, "sentencepiece"), schema), **{name: name for name in outputs})
 
 
 def op9_sentencepiece(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, table
+from .common import cut, listed, table, tidy
 from .graph import components
 
 SHINGLE, DISTANCE, SEED = 3, 2, 42
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp, pa.int64())], names=["id", "h", "fp"])
 
     schema = T.StructType([rows.schema["id"], T.StructField("h", T.LongType()), T.StructField("fp", T.LongType())])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def segments(distance: int) -> list[list[int]]:
@@ -177,13 +177,13 @@ def links(nodes: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> D
     keys = nodes.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit"))
     keys = keys.select("bit", F.col("fp").bitwiseAND(F.get(masks, F.col("bit"))).alias("key"), "fp")
     ordered = keys.repartition("bit", "key").sortWithinPartitions("bit", "key", "fp")
-    found = cut(ordered.mapInArrow(lambda batches: _linked(batches, distance, bucket), "a long, b long, bit int").distinct())
+    found = cut(ordered.mapInArrow(tidy(lambda batches: _linked(batches, distance, bucket)), "a long, b long, bit int").distinct())
     edges = found.where("bit is null").select("a", "b")
     # keys above the bound: clear every choice of bits that the key leaves open
     full = (1 << 64) - 1
     table_ = [[_signed(full & ~_mask(c)) for c in combinations([b for b in range(64) if not m >> b & 1], distance)] for m in chain_masks(distance)]
     big = found.where("bit is not null").select(F.col("a").alias("fp"), "bit")
-    sets = nodes.sparkSession.createDataFrame([(b, m) for b, m in enumerate(table_)], "bit int, masks array<bigint>")
+    sets = listed(nodes.sparkSession, list(enumerate(table_)), bit=pa.int32(), masks=pa.list_(pa.int64()))
     opened = big.join(F.broadcast(sets), "bit").select("fp", "bit", F.posexplode("masks").alias("choice", "mask"))
     opened = opened.select("fp", "bit", "choice", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
     least = opened.groupBy("bit", "choice", "key").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, unpacked
+from .common import held_out, tidy, unpacked
 from .fitting import labelled_sample, minimise, sigmoid
 
 ORDERS = (4, 5, 6)
@@ -146,7 +146,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s)], names=["row", "score"])
 
     schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("score", T.DoubleType())])
-    return unpacked(rows.mapInArrow(run, schema), score="score", predicted=(F.col("score") >= threshold).cast("int"))
+    return unpacked(rows.mapInArrow(tidy(run), schema), score="score", predicted=(F.col("score") >= threshold).cast("int"))
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
