@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,11 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and drop its lineage."""
+    """Materialise ``df`` in the shared checkpoint folder and drop its lineage; the driver gives back what planning and running it took."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    relieve(df.sparkSession)
+    return out
 
 
 def scratch(spark: SparkSession, what: str) -> str:
@@ -50,6 +54,14 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release() -> None:
+    """Returns memory that this process has freed to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def give_back(own: str = "") -> None:
     """Drops what operators other than ``own`` keep in this worker, and returns freed memory to the system.
 
@@ -58,10 +70,29 @@ def give_back(own: str = "") -> None:
     for name, drop in KEPT.items():
         if name != own:
             drop()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-    if trim:
-        trim(0)
+    release()
+
+
+def relieve(spark: SparkSession) -> str:
+    """Collects garbage in the driver's two processes and returns freed memory to the system; what the JVM says of it, empty if it cannot.
+
+    The code that is compiled for each plan leaves some hundred MB that the JVM
+    has freed, but that its C library holds in the pools of many threads.
+    """
+    gc.collect()
+    release()
+    jvm, array = spark._jvm, spark.sparkContext._gateway.new_array
+    jvm.System.gc()
+    find = jvm.java.lang.Class.forName
+    kinds, given = array(jvm.java.lang.Class, 4), array(jvm.Object, 4)
+    try:
+        for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[i] = find(kind)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        # by the interface: the class of the server itself is not open to callers
+        return find("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given) or ""
+    except Py4JError:  # a JVM without that command
+        return ""
 
 
 def tidy(run: Callable[[Iterator], Iterator], own: str = "") -> Callable[[Iterator], Iterator]:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, tidy, unpacked
+from .common import held_out, relieve, tidy, unpacked
 from .fitting import labelled_sample, minimise, sigmoid
 
 ORDERS = (4, 5, 6)
@@ -123,7 +123,10 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, bits: int = B
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """Fits on at most ``per_class`` labelled texts of each class (see :func:`labelled_sample`)."""
     rows = labelled_sample(docs, labels, "toxic", per_class).orderBy("id").collect()
-    return fit([r.text for r in rows], np.array([r.label for r in rows]), np.array([r.weight for r in rows]))
+    model = fit([r.text for r in rows], np.array([r.label for r in rows]), np.array([r.weight for r in rows]))
+    del rows
+    relieve(docs.sparkSession)
+    return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
