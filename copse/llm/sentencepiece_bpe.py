@@ -35,6 +35,8 @@ from .common import KEPT, tidy, unpacked
 SPACE = "▁"
 MEMO = 600_000
 MODEL = "piece_bpe_32k.model"
+#: Characters of a chunk whose agenda is a list; longer ones have a heap. Of a pair that is no piece, after all ranks.
+SHORT, NEVER = 24, 1 << 60
 
 
 class Agenda:
@@ -69,10 +71,18 @@ class Agenda:
 
     def merge(self, chunk: str) -> list[int]:
         """Ids of one chunk."""
-        if len(chunk) == 1:
-            sym = [chunk]
+        rank, sym, n = self.rank.get, list(chunk), len(chunk)
+        if n <= SHORT:  # the agenda as a list by position: its first least entry is on top, and no entry is ever out of date
+            agenda = [rank(pair, NEVER) for pair in map(add, sym, sym[1:])]
+            while agenda and (top := min(agenda)) != NEVER:
+                i = agenda.index(top)
+                both = sym[i] = sym[i] + sym.pop(i + 1)
+                del agenda[i]
+                if i < len(agenda):
+                    agenda[i] = rank(both + sym[i + 1], NEVER)
+                if i:
+                    agenda[i - 1] = rank(sym[i - 1] + both, NEVER)
         else:
-            rank, sym, n = self.rank.get, list(chunk), len(chunk)
             bits = n.bit_length()
             low = (1 << bits) - 1
             after, before = list(range(1, n + 2)), list(range(-1, n))
